@@ -54,6 +54,46 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return summaries(merge_sketches(daily_sketches(measured(read(spark, d, "bound_widths"))))).drop("percent")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.packing import named_capacities, pack
+    from quillon.llm.tokens import sized
+
+    sizes = list(named_capacities(read(spark, d, "pack_capacities"), upto="trainer"))
+    return pack(sized(read(spark, d, "documents")), sizes).where("piece > 0").select("doc_id").distinct()
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.packing import named_capacities, pack
+    from quillon.llm.tokens import sized
+
+    return pack(sized(read(spark, d, "documents")), list(named_capacities(read(spark, d, "pack_capacities"))))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.packing import fill_report, named_capacities
+
+    return fill_report(p6_pack(spark, d), named_capacities(read(spark, d, "pack_capacities")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_shares(spark, d).where("short AND reached_tokens < target_tokens").select("plan_name", "source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.mixing import shares
+    from quillon.llm.tokens import sized
+
+    return shares(sized(read(spark, d, "documents")), read(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.mixing import allocate, mix
+    from quillon.llm.tokens import sized
+
+    documents = sized(read(spark, d, "documents"))
+    return mix(documents, allocate(documents, read(spark, d, "mix_targets")))
+
+
 _SHOWN = """
 known AS (SELECT lower(replace(index_id, '-', '')) AS id, index_id, sample_permille AS permille FROM drift_indexes),
 spelt AS (SELECT regexp_replace(lower(trim(index_id)), '^(urn:uuid:|0x)|[-{}[:space:]]', '', 'g') AS id, row_id, generation FROM drift_rows WHERE row_id IS NOT NULL),
