@@ -94,6 +94,18 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(documents, allocate(documents, read(spark, d, "mix_targets")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.truncation import truncated
+
+    return truncated(read(spark, d, "documents")).where("is_cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.truncation import rates, truncated
+
+    return rates(truncated(read(spark, d, "documents")))
+
+
 _SHOWN = """
 known AS (SELECT lower(replace(index_id, '-', '')) AS id, index_id, sample_permille AS permille FROM drift_indexes),
 spelt AS (SELECT regexp_replace(lower(trim(index_id)), '^(urn:uuid:|0x)|[-{}[:space:]]', '', 'g') AS id, row_id, generation FROM drift_rows WHERE row_id IS NOT NULL),
