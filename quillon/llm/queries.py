@@ -30,6 +30,21 @@ def p1_sample_growth(spark: SparkSession, d: str) -> DataFrame:
     return sample_growth(read(spark, d, "drift_rows"), read(spark, d, "drift_indexes"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quillon.llm.overlap import overlaps
+
+    pair = (F.least("eval_rec", "train_rec").alias("rec_lo"), F.greatest("eval_rec", "train_rec").alias("rec_hi"))
+    return overlaps(read(spark, d, "split_records")).where("eval_rec <> train_rec").select(*pair).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.overlap import report
+
+    return report(read(spark, d, "split_records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from quillon.llm.topn import best_lists
 
