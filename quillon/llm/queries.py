@@ -30,6 +30,18 @@ def p1_sample_growth(spark: SparkSession, d: str) -> DataFrame:
     return sample_growth(read(spark, d, "drift_rows"), read(spark, d, "drift_indexes"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.neighbours import nearest
+
+    return nearest(read(spark, d, "corpus_vectors")).select("query_vec_id", "near_vec_id")
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.neighbours import nearest
+
+    return nearest(read(spark, d, "corpus_vectors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
