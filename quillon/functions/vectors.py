@@ -66,4 +66,4 @@ def hadamard_row(v: Column, i: Column, n: int) -> Column:
 
 def pack_nibbles(codes: Column) -> Column:
     """Two codes a byte value, the even one low."""
-    return F.transform(F.sequence(F.lit(0), F.size(codes) / 2 - 1), lambda i: (codes[(2 * i).cast("int")] + 16 * codes[(2 * i + 1).cast("int")]).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.expr("int(-1)") + F.shiftright(F.size(codes), 1)), lambda i: (codes[(2 * i).cast("int")] + 16 * codes[(2 * i + 1).cast("int")]).cast("int"))
