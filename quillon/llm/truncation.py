@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -93,6 +94,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+@cache
 def _salt(name: str) -> np.uint64:
     h = np.uint64(14695981039346656037)
     with np.errstate(over="ignore"):
@@ -105,33 +107,35 @@ def context_keys(codes: np.ndarray, languages: np.ndarray) -> list[np.ndarray]:
     """For each of CONTEXTS the key of the context that ends at each position. Digits are all alike."""
     kinds = CLASS[codes].astype(np.uint64)
     chars = np.where(kinds == 2, np.uint64(48), codes.astype(np.uint64))
-    keys = []
-    for kind, n in CONTEXTS:
-        source = kinds if kind == "class" else chars
-        h = np.full(len(codes), n, np.uint64)
-        for back in range(n):
+    keys: dict[tuple[str, int], np.ndarray] = {}
+    for kind, source in (("class", kinds), ("char", chars)):
+        h = np.full(len(codes), len(kind), np.uint64)
+        for back in range(max(n for k, n in CONTEXTS if k == kind)):
             shifted = np.zeros(len(codes), np.uint64)
             shifted[back:] = source[: len(codes) - back]
             h = _mix(h * np.uint64(1099511628211) + shifted + np.uint64(1))
-        keys.append(_mix(h + languages + np.uint64(1)) if kind == "class" else h)
-    return keys
+            if (kind, back + 1) in CONTEXTS:
+                keys[kind, back + 1] = _mix(h + languages + np.uint64(1)) if kind == "class" else h
+    return [keys[c] for c in CONTEXTS]
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for docs in batches:
-        out = []
+        out, tails = [], []
         for doc_id, source, text in zip(docs.doc_id.tolist(), docs.source.tolist(), docs.text.tolist()):
             bare, debris = strip_debris(text)
-            if not bare:
-                continue
-            lang = language(text)
-            codes = np.frombuffer(("\x02" + bare[-REACH:] if len(bare) < REACH else bare[-REACH:]).encode("utf-32-le"), np.uint32)
-            with np.errstate(over="ignore"):
-                last = np.array([k[-1] for k in context_keys(codes, np.uint64(LANGUAGES.index(lang)))])
-                pooled = _mix(last ^ _salt(POOLED)).astype(np.int64).tolist()
-                keys = pooled if source is None else _mix(last ^ _salt(source)).astype(np.int64).tolist()
-            out.append((doc_id, source, lang, len(text), len(bare), debris, keys, pooled))
-        yield pd.DataFrame(out, columns=["doc_id", "source", "lang", "length", "bare", "debris", "keys", "pooled"])
+            if bare:
+                out.append((doc_id, source, language(text), len(text), len(bare), debris))
+                tails.append(("\x02" + bare)[-REACH:].replace("\x00", "\ufffd").rjust(REACH, "\x00"))
+        frame = pd.DataFrame(out, columns=["doc_id", "source", "lang", "length", "bare", "debris"])
+        codes = np.frombuffer("".join(tails).encode("utf-32-le"), np.uint32)
+        with np.errstate(over="ignore"):
+            languages = np.repeat(np.array([LANGUAGES.index(r[2]) for r in out], np.uint64), REACH)
+            last = np.stack([k[REACH - 1 :: REACH] for k in context_keys(codes, languages)], axis=1)
+            salts = np.array([_salt(POOLED if r[1] is None else r[1]) for r in out], np.uint64)
+            frame["keys"] = list(_mix(last ^ salts[:, None]).astype(np.int64))
+            frame["pooled"] = list(_mix(last ^ _salt(POOLED)).astype(np.int64))
+        yield frame
 
 
 ENDS = "doc_id long, source string, lang string, length long, bare long, debris boolean, keys array<long>, pooled array<long>"
@@ -177,8 +181,7 @@ def _counter(wanted):
 
                 for source, text in zip(docs.source.tolist(), docs.text.tolist()):
                     bare, _ = strip_debris(text)
-                    codes = np.frombuffer(("\x02" + bare + "\x00").encode("utf-32-le"), np.uint32).copy()
-                    codes[1:-1][codes[1:-1] == 0] = 0xFFFD  # 0 separates texts
+                    codes = np.frombuffer(("\x02" + bare.replace("\x00", "\ufffd") + "\x00" * REACH).encode("utf-32-le"), np.uint32)  # 0 separates texts
                     name = source if source is not None else POOLED
                     parts.append(codes)
                     salts.append(np.full(len(codes), known.setdefault(name, _salt(name)), np.uint64))
@@ -198,9 +201,9 @@ def _counter(wanted):
 def _filter_of(keys: DataFrame) -> np.ndarray:
     """A bitmap of 2^FILTER_BITS bits, 8 MB whatever the data, that holds the keys."""
     low = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = keys.groupBy(F.shiftright(low, 5).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((key & {(1 << FILTER_BITS) - 1}L) & 31))")).alias("b")).toPandas()
+    words = keys.groupBy(F.shiftright(low, 5).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((key & {(1 << FILTER_BITS) - 1}L) & 31))")).alias("b")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[words.w.to_numpy()] = words.b.to_numpy().astype(np.uint32)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
     return bits.view(np.uint8)
 
 
