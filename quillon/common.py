@@ -35,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that columns of ``df`` have already."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def is_number(column: Column) -> Column:
     """True for values that are neither null, NaN nor infinite."""
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))

@@ -33,13 +33,14 @@ def directions(x: np.ndarray) -> np.ndarray:
 
 def hadamard(x: np.ndarray, block: int) -> np.ndarray:
     """Orthonormal Hadamard transform of every block of coordinates, by butterflies in single precision."""
-    y = x.astype(np.float32).reshape(len(x), -1, block)
+    blocks = x.shape[1] // block
+    y = x.astype(np.float32).reshape(len(x), blocks, block)
     step = 1
     while step < block:
-        z = y.reshape(len(y), y.shape[1], block // (2 * step), 2, step)
-        y = np.stack([z[..., 0, :] + z[..., 1, :], z[..., 0, :] - z[..., 1, :]], axis=-2).reshape(len(y), -1, block)
+        z = y.reshape(len(y), blocks, block // (2 * step), 2, step)
+        y = np.stack([z[..., 0, :] + z[..., 1, :], z[..., 0, :] - z[..., 1, :]], axis=-2).reshape(len(y), blocks, block)
         step *= 2
-    return (y * (np.float32(1) / np.sqrt(np.float32(block)))).reshape(len(x), -1)
+    return (y * (np.float32(1) / np.sqrt(np.float32(block)))).reshape(x.shape)
 
 
 @dataclass(frozen=True)
@@ -104,7 +105,7 @@ def pack(codes: np.ndarray) -> np.ndarray:
 
 
 def unpack(packed: np.ndarray) -> np.ndarray:
-    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), -1)
+    return np.stack([packed & 15, packed >> 4], axis=2).reshape(len(packed), 2 * packed.shape[1])
 
 
 def _square_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -157,7 +158,7 @@ def encode_residual(r: np.ndarray, codebook: np.ndarray) -> np.ndarray:
 
 
 def decode_residual(codes: np.ndarray, codebook: np.ndarray) -> np.ndarray:
-    return codebook[np.arange(len(codebook)), codes].reshape(len(codes), -1)
+    return codebook[np.arange(len(codebook)), codes].reshape(len(codes), len(codebook) * codebook.shape[2])
 
 
 def q24(v: np.ndarray) -> np.ndarray:

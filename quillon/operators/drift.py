@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.common import fresh
 from quillon.operators.select import key_of_hash, key_of_hex, smallest_per_group
 
 #: Rows of a drift sample, the least for a warning, and its limits (fixed values).
@@ -36,9 +37,9 @@ def nearest_rank(values: list[str], percents: tuple[int, ...], by: list[str], df
 
 def reservoir(df: DataFrame, key: Column, size: int = SAMPLE, by: list[str] | None = None) -> DataFrame:
     """The ``size`` rows of smallest key (``key_of_hash`` or ``key_of_hex``) per group: the same for any batching."""
-    by = by or []
-    base = df.withColumn("_all", F.lit(0)).withColumn("_key", key).withColumn("_most", F.lit(size))
-    return smallest_per_group(base, by or ["_all"], "_key", "_most", ["_key"]).drop("_all", "_key", "_most")
+    whole, own, most = fresh(df, "_all", "_key", "_most")
+    base = df.withColumn(whole, F.lit(0)).withColumn(own, key).withColumn(most, F.lit(size))
+    return smallest_per_group(base, by or [whole], own, most, [own]).drop(whole, own, most)
 
 
 def merge_reservoirs(a: DataFrame, b: DataFrame, key: Column, size: int = SAMPLE) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.common import fresh
+
 #: Keys are integers in [0, 2^KEY_BITS).
 KEY_BITS = 52
 #: Leading bits of a key that form its histogram bucket.
@@ -45,10 +47,10 @@ def smallest_per_group(
     Null groups form a group of their own; rows of null key or quota are left out. An empty frame gives an
     empty frame.
     """
+    own, at, edge_, *groups = fresh(df, "_own", "_at", "_edge", *(f"_g{i}" for i in range(len(by))))
     size = F.lit(1).cast("double") if weight is None else F.col(weight).cast("double")
     rows = df.where(F.col(key).isNotNull() & F.col(quota).isNotNull())
     bucket = F.shiftright(F.col(key), KEY_BITS - bucket_bits)
-    groups = [f"_g{i}" for i in range(len(by))]
     counts = (
         rows.groupBy(*(F.col(c).alias(g) for c, g in zip(by, groups)), bucket.alias("_bucket"))
         .agg(F.sum(size).alias("_w"), F.max(F.col(quota).cast("double")).alias("_quota"))
@@ -58,17 +60,16 @@ def smallest_per_group(
         counts.withColumn("_upto", upto)
         .where(F.col("_upto") >= F.col("_quota"))
         .groupBy(*groups)
-        .agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_w")).alias("before"), "_quota")).alias("_edge"))
+        .agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_w")).alias("before"), "_quota")).alias(edge_))
     )
     same = [rows[c].eqNullSafe(edges[g]) for c, g in zip(by, groups)]
-    joined = rows.withColumn("_own", bucket).join(edges, on=same, how="left")
-    below = joined.where(F.col("_edge").isNull() | (F.col("_own") < F.col("_edge._bucket"))).select(*df.columns)
-    edge = joined.where(F.col("_own") == F.col("_edge._bucket"))
+    joined = rows.withColumn(own, bucket).join(edges, on=same, how="left")
+    below = joined.where(F.col(edge_).isNull() | (F.col(own) < F.col(f"{edge_}._bucket"))).select(*df.columns)
+    edge = joined.where(F.col(own) == F.col(f"{edge_}._bucket"))
     ordered = Window.partitionBy(*groups).orderBy(key, *ties)
     if weight is None:
-        ranked = edge.withColumn("_at", F.row_number().over(ordered) - F.lit(1.0))
-        taken = F.col("_edge.before") + F.col("_at") < F.col("_edge._quota")
+        ranked = edge.withColumn(at, F.row_number().over(ordered) - F.lit(1.0))
     else:
-        ranked = edge.withColumn("_at", F.sum(size).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - size / 2)
-        taken = F.col("_edge.before") + F.col("_at") < F.col("_edge._quota")
+        ranked = edge.withColumn(at, F.sum(size).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - size / 2)
+    taken = F.col(f"{edge_}.before") + F.col(at) < F.col(f"{edge_}._quota")
     return below.unionByName(ranked.where(taken).select(*df.columns))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.common import cut
+from quillon.common import cut, fresh
 from quillon.errors import AlreadyExists, CommitOutcomeUnknown, Corrupt, EmptyCommit, IdentityMismatch, IndexFault, InvalidVector, NotFound, RowLimit, SegmentLimit
 from quillon.functions.bounds import check_terms
 from quillon.functions.codec import Model
@@ -39,14 +39,15 @@ def dense_ids(rows: DataFrame, order: list[str], first: int = 0) -> DataFrame:
     """
     parts = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     at = F.monotonically_increasing_id()
-    numbered = parts.withColumn("_p", F.shiftright(at, 33).cast("int")).withColumn("_i", at.bitwiseAND((1 << 33) - 1))
-    counts = {r["_p"]: r["n"] for r in numbered.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    part, place = fresh(rows, "_p", "_i")
+    numbered = parts.withColumn(part, F.shiftright(at, 33).cast("int")).withColumn(place, at.bitwiseAND((1 << 33) - 1))
+    counts = {r["p"]: r["n"] for r in numbered.groupBy(F.col(part).alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, total = [], first
     for p in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(p, 0)
     start = F.array(*(F.lit(o).cast("long") for o in offsets)) if offsets else F.array(F.lit(0).cast("long"))
-    return numbered.withColumn("row_id", start[F.col("_p")] + F.col("_i")).drop("_p", "_i")
+    return numbered.withColumn("row_id", start[F.col(part)] + F.col(place)).drop(part, place)
 
 
 def refuse_invalid(rows: DataFrame, position: str, dim: int) -> None:

@@ -20,11 +20,8 @@ def register(spark: SparkSession, model: Model) -> None:
     def vectorised(kind, run):
         @F.pandas_udf(kind)
         def f(v: pd.Series) -> pd.Series:
-            ok = v.notna()
-            out = pd.Series([None] * len(v), index=v.index, dtype=object)
-            if ok.any():
-                out[ok] = list(run(matrix(v[ok], model.spec.dim)))
-            return out
+            made = iter(run(matrix(v[v.notna()], model.spec.dim)))
+            return pd.Series([next(made) if there else None for there in v.notna()], dtype=object)
 
         return f
 
