@@ -227,7 +227,7 @@ def _route(models):
 def rank(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, scores within TIE of the one before ordered by id."""
     order = np.lexsort((ids, -scores))
-    tied = np.concatenate([[0], np.cumsum(-np.diff(scores[order]) > TIE)])
+    tied = np.cumsum(-np.diff(scores[order], prepend=scores[order][:1]) > TIE)
     return order[np.lexsort((ids[order], tied))][:k]
 
 

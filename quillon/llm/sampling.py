@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.common import fresh
 from quillon.operators.select import KEY_BITS, key_of_hex, smallest_per_group
 
 
@@ -36,17 +37,15 @@ def frozen_batches(rows: DataFrame, sample: str, batch: str, key: str, rate: str
     Rows of null key or rate are left out; a null sample or batch is a sample or batch of its own; a batch of
     rate 0 keeps nothing; repeated rows are the caller's to remove. Ties are ordered by ``ties``.
     """
-    clash = {"_size", "_under", "_quota"} & set(rows.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are used inside")
+    quota, s, b = fresh(rows, "_quota", "_s", "_b")
     whole = rows.where(F.col(key).isNotNull() & F.col(rate).isNotNull())
     under = F.count_if(F.col(key) < F.col(below)) if below else F.lit(0).cast("long")
-    sizes = whole.groupBy(F.col(sample).alias("_s"), F.col(batch).alias("_b")).agg(
+    sizes = whole.groupBy(F.col(sample).alias(s), F.col(batch).alias(b)).agg(
         # the share is rounded to 1e-9 first, or 0.07 * 100 would ask for 8 rows
-        F.greatest(F.ceil(F.round(F.max(rate) * F.count("*"), 9)), under).alias("_quota")
+        F.greatest(F.ceil(F.round(F.max(rate) * F.count("*"), 9)), under).alias(quota)
     )
-    joined = whole.join(sizes, on=[whole[sample].eqNullSafe(sizes["_s"]), whole[batch].eqNullSafe(sizes["_b"])]).drop("_s", "_b")
-    return smallest_per_group(joined, [sample, batch], key, "_quota", ties).drop("_quota")
+    joined = whole.join(sizes, on=[whole[sample].eqNullSafe(sizes[s]), whole[batch].eqNullSafe(sizes[b])]).drop(s, b)
+    return smallest_per_group(joined, [sample, batch], key, quota, ties).drop(quota)
 
 
 def shown_rows(drift_rows: DataFrame, drift_indexes: DataFrame) -> DataFrame:
@@ -86,8 +85,6 @@ def threshold_sample(drift_rows: DataFrame, drift_indexes: DataFrame) -> DataFra
 
 def sample_growth(drift_rows: DataFrame, drift_indexes: DataFrame) -> DataFrame:
     """Per index and generation: rows seen in it, rows its batch adds to the sample, and both running totals."""
-    from pyspark.sql import Window
-
     shown = shown_rows(drift_rows, drift_indexes)
     seen = shown.groupBy("index_id", "generation").agg(F.count("*").alias("batch_seen"))
     kept = frozen_batches(shown, "index_id", "generation", "key", "rate", ["row_id"])
