@@ -45,13 +45,13 @@ def mix(sized: DataFrame, allocation: DataFrame, seed: int = 0) -> DataFrame:
     docs = sized.where((F.col("tokens") > 0) & F.col("source").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "source", "tokens")
     plans = (
         allocation.where((F.col("available") > 0) & (F.col("wanted") > 0))
-        .withColumn("whole", F.floor(F.round(F.col("wanted") / F.col("available"), 9)))
+        .withColumn("whole", F.floor(F.round(F.try_divide("wanted", "available"), 9)))
         .withColumn("rest", F.greatest(F.lit(0.0), F.col("wanted") - F.col("whole") * F.col("available")))
-        .select("plan_name", "source", "whole", "rest", (F.col("rest") / F.col("available")).alias("chance"))
+        .select("plan_name", "source", "whole", "rest", F.try_divide("rest", "available").alias("chance"))
     )
     offered = docs.join(plans, "source")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "plan_name", "doc_id"), 12) + 0.5) / float(1 << 52)
-    odds = u / (1 - u) * (1 - F.col("chance")) / F.col("chance")
+    odds = F.try_divide(u / (1 - u) * (1 - F.col("chance")), F.col("chance"))
     ranked = offered.where(F.col("chance") > 0).withColumn("key", key_of_fraction(odds / (1 + odds)))
     drawn = smallest_per_group(ranked, ["plan_name", "source"], "key", "rest", ["doc_id"], weight="tokens")
     columns = ("plan_name", "source", "doc_id", "tokens")
@@ -78,6 +78,6 @@ def shares(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     return (
         allocation.join(used, ["plan_name", "source"], "left")
         .select("plan_name", "source", "target_share", "max_repeats", "total", "available", "target_tokens", *none)
-        .withColumn("reached_share", F.col("reached_tokens") / F.col("total"))
+        .withColumn("reached_share", F.try_divide(F.col("reached_tokens"), F.col("total")))
         .withColumn("short", F.col("max_repeats") * F.col("available") < F.col("target_tokens"))
     )
