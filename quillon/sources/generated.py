@@ -41,3 +41,27 @@ def generated(spark: SparkSession, name: str, seed: int = 0, first: int = 0) ->
             yield pd.DataFrame({"row_id": ids, "v": list(rows(kind, dim, ids, seed))})
 
     return spark.range(first, first + count).mapInPandas(run, "row_id long, v array<float>")
+
+
+def splitmix(seed: int, n: int) -> np.ndarray:
+    """n numbers in [-1, 1) from a 64-bit mixing counter, for checks that need no good randomness."""
+    with np.errstate(over="ignore"):
+        z = np.uint64(seed % (1 << 64)) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(np.float64) / 2.0**52 - 1.0).astype(np.float32)
+
+
+def factors(ratings: np.ndarray, rank: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column factors of a matrix, each with the root of the singular values, padded with zeros to ``dim``.
+
+    Each component has the sign that makes its largest row entry positive, so that the result is unique.
+    """
+    u, s, v = np.linalg.svd(ratings, full_matrices=False)
+    rank = min(rank, len(s))
+    u, s, v = u[:, :rank], np.sqrt(s[:rank]), v[:rank].T
+    sign = np.sign(u[np.abs(u).argmax(0), np.arange(rank)])
+    sign[sign == 0] = 1
+    pad = lambda x: np.pad(x, ((0, 0), (0, dim - rank))).astype(np.float32)
+    return pad(u * sign * s), pad(v * sign * s)
