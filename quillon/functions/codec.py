@@ -259,6 +259,17 @@ def refine(primary: np.ndarray, res: np.ndarray, table: np.ndarray) -> np.ndarra
     return total
 
 
+def refine_decoded(primary: np.ndarray, res: np.ndarray, query: np.ndarray, codebook: np.ndarray) -> np.ndarray:
+    """The same from decoded centroids and one rotated query, without tables."""
+    total = primary.copy()
+    for s in range(len(codebook)):
+        v = np.zeros(len(res))
+        for lane in range(codebook.shape[2]):
+            v += float(query[s * codebook.shape[2] + lane]) * codebook[s, res[:, s], lane].astype(np.float64)
+        total += q24(v)
+    return total
+
+
 def lengths(p: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Length of the reconstruction, which is never rounded to single precision."""
     total = np.zeros(len(p))

@@ -73,6 +73,44 @@ def loss_attribution(candidates: DataFrame, truth: DataFrame, k: int) -> DataFra
     )
 
 
+#: Range of lengths that one byte can tell apart (fixed values).
+BYTE_RANGE = (0.5, 1.25)
+
+
+def as_half(x: Column) -> Column:
+    """A positive number rounded to half precision, ties to even."""
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(x)), F.lit(-14)) - 10)
+    return F.bround(x / step) * step
+
+
+def as_byte(x: Column) -> Column:
+    """A length rounded to one of 256 steps of BYTE_RANGE."""
+    low, high = BYTE_RANGE
+    step = (high - low) / 255
+    return F.bround((F.least(F.greatest(x, F.lit(low)), F.lit(high)) - low) / step) * step + low
+
+
+def stored_alignment(candidates: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """True neighbours among the first k per query if the length that corrects scores is kept exactly, in half
+    precision, in one byte, or not at all. A length that is no positive number corrects nothing."""
+    length = F.when(is_number(F.col("recon_length")) & (F.col("recon_length") > 0), F.col("recon_length"))
+    kinds = {"exact": length, "half": as_half(length), "byte": as_byte(length), "none": F.lit(1.0)}
+    scored = candidates.where(F.col("refined_raw").isNotNull()).select("query_id", "row_id", *((F.col("refined_raw") / F.coalesce(v, F.lit(1.0))).alias(f"by_{n}") for n, v in kinds.items()))
+    order = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "row_id"))
+    placed = scored.select("query_id", "row_id", *((order(f"by_{n}") <= k).cast("long").alias(f"by_{n}") for n in kinds))
+    true_k = truth.where(F.col("rank") <= k).select("query_id", "row_id")
+    return true_k.join(placed, ["query_id", "row_id"], "left").groupBy("query_id").agg(*(F.coalesce(F.sum(f"by_{n}"), F.lit(0).cast("long")).alias(f"by_{n}") for n in kinds))
+
+
+def block_check(encoded: DataFrame) -> DataFrame:
+    """Per segment: rows, distinct row ids, and whether they are all those from the first to the last."""
+    return (
+        encoded.groupBy("segment", "row_id").agg(F.count("*").alias("n"))
+        .groupBy("segment").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_rows"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+        .withColumn("whole", (F.col("rows") == F.col("distinct_rows")) & (F.col("last_row") - F.col("first_row") + 1 == F.col("rows")))
+    )
+
+
 def missed(candidates: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """True neighbours that no candidate is."""
     return truth.where(F.col("rank") <= k).select("query_id", "row_id").join(candidates.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")

@@ -174,6 +174,10 @@ def block_certificates(spark, d):
     return search.certificates(_encoded(spark, d), frozen_model()).select("segment", "first_row", "row_count", "err_primary", "err_refined")
 
 
+def block_check(spark, d):
+    return evaluate.block_check(_encoded(spark, d))
+
+
 def q24_tables(spark, d):
     model = frozen_model()
 
@@ -321,6 +325,11 @@ def loss_attribution(spark, d):
     return evaluate.loss_attribution(*_lists(spark, d), K)
 
 
+def stored_alignment(spark, d):
+    rows = evaluate.unique_scores(read(spark, d, "candidates"), "corrected", ("refined_raw", "recon_length"))
+    return evaluate.stored_alignment(rows, _lists(spark, d)[1], K)
+
+
 def selection_losses(spark, d):
     return evaluate.missed(*_lists(spark, d), K)
 
@@ -581,6 +590,13 @@ SELECT *, median_ratio > 1.05 OR median_ratio < 1 / 1.05::DOUBLE OR p95_ratio >
         "budget_sweep": f"{_LISTS_SQL}, b AS (SELECT unnest({BUDGETS})::INTEGER AS budget), pool AS (SELECT *, row_number() OVER (PARTITION BY budget, query_id ORDER BY corrected DESC, row_id) AS place FROM ranks CROSS JOIN b WHERE by_primary <= budget) SELECT budget, (SELECT count(*) FROM pool p JOIN truth t USING (query_id, row_id) WHERE p.budget = b.budget AND place <= {K}) AS hits, (SELECT count(*) FROM truth) AS wanted FROM b",
         "loss_attribution": f"""{_LISTS_SQL}, j AS (SELECT t.query_id, r.row_id IS NOT NULL AS selected, by_corrected, by_refined, by_truth FROM truth t LEFT JOIN ranks r USING (query_id, row_id))
 SELECT *, wanted - selected AS selection_losses, selected - delivered AS ranking_losses FROM (SELECT query_id, count(*) AS wanted, count_if(selected)::BIGINT AS selected, count_if(by_corrected <= {K})::BIGINT AS delivered, count_if(by_refined <= {K})::BIGINT AS by_refined, count_if(by_truth <= {K})::BIGINT AS by_truth FROM j GROUP BY query_id)""",
+        "stored_alignment": f"""{_LISTS_SQL}, lens AS (SELECT query_id, row_id, max(refined_raw) AS raw, max(recon_length) AS l FROM candidates WHERE isfinite(corrected) AND query_id IS NOT NULL AND row_id IS NOT NULL GROUP BY ALL HAVING raw IS NOT NULL),
+fit AS (SELECT query_id, row_id, raw::DOUBLE AS raw, CASE WHEN isfinite(l) AND l > 0 THEN l END AS l FROM lens),
+kinds AS (SELECT query_id, row_id, raw AS r_none, raw / coalesce(l, 1.0::DOUBLE) AS r_exact, raw / coalesce(round_even(l / pow(2.0, greatest(floor(log2(l)), -14) - 10), 0) * pow(2.0, greatest(floor(log2(l)), -14) - 10), 1.0::DOUBLE) AS r_half,
+  raw / coalesce(round_even((least(greatest(l, 0.5::DOUBLE), 1.25::DOUBLE) - 0.5::DOUBLE) / (0.75::DOUBLE / 255), 0) * (0.75::DOUBLE / 255) + 0.5::DOUBLE, 1.0::DOUBLE) AS r_byte FROM fit),
+placed AS (SELECT query_id, row_id, """ + ", ".join(f"(row_number() OVER (PARTITION BY query_id ORDER BY r_{n} DESC, row_id) <= {K})::BIGINT AS by_{n}" for n in ("exact", "half", "byte", "none")) + """ FROM kinds)
+SELECT query_id, """ + ", ".join(f"coalesce(sum(by_{n}), 0)::BIGINT AS by_{n}" for n in ("exact", "half", "byte", "none")) + " FROM truth t LEFT JOIN placed USING (query_id, row_id) GROUP BY query_id",
+        "block_check": f"SELECT (vec_id // {SEGMENT})::INTEGER AS segment, count(*) AS rows, count(DISTINCT vec_id) AS distinct_rows, min(vec_id) AS first_row, max(vec_id) AS last_row, count(*) = count(DISTINCT vec_id) AND max(vec_id) - min(vec_id) + 1 = count(*) AS whole FROM embeddings GROUP BY 1",
         "selection_losses": f"{_LISTS_SQL} SELECT query_id, row_id FROM truth ANTI JOIN cand USING (query_id, row_id)",
         "primary_rank_of_truth": f"{_LISTS_SQL} SELECT t.query_id, t.row_id, t.rank AS true_rank, by_primary AS primary_rank FROM truth t JOIN ranks r USING (query_id, row_id)",
         "rank_gap": f"{_LISTS_SQL}, w AS (SELECT *, row_number() OVER o AS place, lead(score) OVER o AS after FROM near WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, row_id)) SELECT query_id, score - after AS gap FROM w WHERE place = {K} AND after IS NOT NULL",

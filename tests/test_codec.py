@@ -107,6 +107,7 @@ def test_true_cosines_lie_in_their_intervals(case):
     for i in range(len(q)):
         primary = codec.scan(codes, left[i])
         refined = codec.refine(primary, res, right[i])
+        assert (refined == codec.refine_decoded(primary, res, MODEL.rotation.forward(codec.directions(q[i : i + 1]))[0], MODEL.codebook)).all()
         eps = [np.array([bounds.epsilon(SPEC_64, v, r) for v in err]) for err, r in ((a, False), (b, True))]
         low, high = bounds.cosine_interval(primary, refined, *eps)
         for j in range(len(x)):
