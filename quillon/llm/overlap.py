@@ -19,19 +19,18 @@ from quillon.common import cut, spread
 
 TRAINING = ("indexed", "calibration")
 EVALUATION = ("tuning", "test")
-#: Share of the longer text's words that must stand in the other in the same order, to be sought and to be reported.
+#: Share of the longer text's words that must stand in the other in the same order: what is asked for, and what is
+#: reported. No pair of either is passed over.
 SOUGHT, REPORTED = 0.85, 0.84
 #: Texts of fewer words are no case.
 LEAST_WORDS = 5
-#: Words of a seed: in texts of at least LONG words, and in those of at most SHORT; texts between have both.
-#: Shorter than the usual five, since one changed word in seven leaves runs of three.
-LONG_SEED, LONG = 3, 12
-SHORT_SEED, SHORT = 2, 15
-#: Buckets (as a power of 2) of the table that tells common seeds from rare ones: 16 MB whatever the data.
-RARITY_BITS = 24
-#: Seeds in at most so many texts are rare, and so are those in at most 4 times the mean of a bucket.
-RARE = 64
-#: Seeds per window among which a common one may be selected too: ten words in a row.
+#: Buckets (as a power of 2) of the table that tells common words from rare ones: 16 MB whatever the data.
+COMMON_BITS = 24
+#: 64-bit words of a text's signature.
+SIGNATURE = 4
+#: Texts of at most so many words are aligned as a whole, longer ones between the words they share.
+WHOLE = 4096
+#: Seeds per window of ``winnow``: ten words in a row.
 WIDE = 8
 
 _TAG = re.compile(r"<[^<>]{1,200}>")
@@ -65,34 +64,47 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def least(words: int) -> int:
+    """Words that a text must share, in order, with one of at most so many words to be reported."""
+    return int(np.ceil(REPORTED * words - 1e-9))
+
+
 def slack(words: int) -> int:
     """Words that may be missing from the other, in the longest text that a text of so many words can match."""
-    longest = int(words / SOUGHT + 1e-9)
-    return longest - int(np.ceil(SOUGHT * longest - 1e-9))
+    longest = int(words / REPORTED + 1e-9)
+    return longest - least(longest)
+
 
+def word_ids(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
-def _seeds(words: list[str], k: int) -> np.ndarray:
-    """The rolling hash of every k words in a row."""
-    ids = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    h = np.full(len(ids) - k + 1, k, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            h = (h ^ ids[j : len(ids) - k + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return h
 
+def prefix(ids: np.ndarray, common: np.ndarray) -> list[tuple[int, int]]:
+    """The places of a text's rarest words, and before how many places of rarer words each comes.
 
-def seed_sets(words: list[str]) -> list[tuple[int, np.ndarray]]:
-    n = len(words)
-    return [(k, _seeds(words, k)) for k, use in ((SHORT_SEED, n <= SHORT), (LONG_SEED, n >= LONG)) if use]
+    Places are ordered by the commonness and hash of their word, the same for all texts. Of a text of n words
+    n - least(n) at most stay unmatched in a pair to be reported, so the first n - least(n) + 1 places hold a
+    matched one. The rarest of all matched words has only unmatched places before it, on both sides: all its
+    places are among those first ones or hold the word of the last of them, and are returned. So the two places
+    of one matched word are selected in both texts, whatever was swapped, dropped or added and however common
+    the words are.
+    """
+    order = np.lexsort((ids, common)).tolist()
+    value = ids.tolist()
+    out, first, most = [], 0, len(order) - least(len(order))
+    for i, at in enumerate(order):
+        if not i or value[at] != value[order[i - 1]]:
+            if i > most:
+                break
+            first = i
+        out.append((at, first))
+    return out
 
 
-def window_of(n: int, k: int) -> int:
-    """Seeds per window, such that two texts of about n words that differ in as many places as are allowed
-    share a run of words that holds a whole window."""
-    differing = slack(n)
-    run = -(-(n - differing) // (differing + 1))
-    return max(1, min(run, k + 2) - k + 1)
+def signature(ids: np.ndarray) -> list[int]:
+    """Bits that each word flips one of: those of two texts differ in no more than there are unmatched words in both."""
+    odd = np.bincount((ids % np.uint64(64 * SIGNATURE)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _minima(rank: np.ndarray, window: int) -> np.ndarray:
@@ -105,11 +117,8 @@ def _minima(rank: np.ndarray, window: int) -> np.ndarray:
 def winnow(seeds: np.ndarray, common: np.ndarray, window: int, most: int) -> np.ndarray:
     """Positions of the selected seeds: minima of windows of consecutive ones, in the order of commonness and hash.
 
-    Windows of ``window`` seeds select rare ones (``common`` 0), windows of WIDE seeds any. So two texts share a
-    selected seed if they share a run of that many seeds of which the first minimum is rare, or a run of ten
-    words. Of common seeds those beyond the ``most`` first in the text's order are passed over: near-duplicates
-    share more seeds than a text has beyond that number. So a phrase that a third of all texts hold selects none
-    where they have others. What this can miss is a pair that shares common phrases only, all cut up by changes.
+    Windows of ``window`` seeds select rare ones (``common`` 0), windows of WIDE seeds any, of common ones the
+    ``most`` first. This misses pairs that share common seeds only, so ``overlaps`` does not use it.
     """
     order = np.lexsort((seeds, common))
     rank = np.empty(len(seeds), np.int64)
@@ -159,14 +168,16 @@ def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def align(a: list[str], b: list[str], seeds: list[tuple[int, int]]) -> int:
-    """Words of ``a`` matched in order in ``b``: seeds are chained, each grows to the sides, gaps are aligned.
+    """Words of ``a`` matched in order in ``b``; in texts of over WHOLE words seeds are chained, each grows to the
+    sides, gaps are aligned.
 
-    Where that falls short of REPORTED but not by much, both texts are aligned as a whole, so that a misleading
-    seed loses nothing.
+    Where that falls short of REPORTED, both texts are aligned as a whole, so that a misleading seed loses nothing.
     """
-    need = REPORTED * max(len(a), len(b))
+    need = least(max(len(a), len(b)))
     if sum((Counter(a) & Counter(b)).values()) < need:
         return 0
+    if max(len(a), len(b)) <= WHOLE:
+        return lcs(a, b)
     total, i, j = 0, 0, 0
     for pa, pb in chain(seeds):
         if pa < i or pb < j or a[pa] != b[pb]:
@@ -192,12 +203,12 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ]
 
 
-def _count_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    table = np.zeros(1 << RARITY_BITS, np.int32)
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    table = np.zeros(1 << COMMON_BITS, np.int32)
     for docs in batches:
-        held = [np.unique(seeds) for joined in docs.words.tolist() for _, seeds in seed_sets(joined.split(" "))]
+        held = [np.unique(word_ids(joined.split(" "))) for joined in docs.words.tolist()]
         if held:
-            buckets, n = np.unique((np.concatenate(held) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), return_counts=True)
+            buckets, n = np.unique((np.concatenate(held) >> np.uint64(64 - COMMON_BITS)).astype(np.int64), return_counts=True)
             table[buckets] += n.astype(np.int32)
     at = np.flatnonzero(table)
     yield pd.DataFrame({"bucket": at, "n": table[at]})
@@ -205,33 +216,36 @@ def _count_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def band_of(n: int) -> int:
     """The length band of a text; texts that match lie at most one band apart."""
-    return int(np.log(n) / -np.log(SOUGHT) + 1e-9)
+    return int(np.log(n) / -np.log(REPORTED) + 1e-9)
 
 
 def reach_of(band: int) -> int:
     """How far apart, at most, matching words of a text in this band and one in a band beside it stand."""
-    return slack(int(SOUGHT ** -(band + 2)) + 1) + 1
+    return slack(int(REPORTED ** -(band + 2)) + 1) + 1
+
+
+_SIGNED = [f"s{i}" for i in range(SIGNATURE)]
 
 
-def _fingerprints(rarity):
+def _fingerprints(commonness):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = rarity.value
+        level = commonness.value
         for docs in batches:
             out = []
             for key, n, joined, evaluation, training in zip(docs.key.tolist(), docs.n.tolist(), docs.words.tolist(), docs.evaluation.tolist(), docs.training.tolist()):
-                band = band_of(n)
-                for k, seeds in seed_sets(joined.split(" ")):
-                    common = level[(seeds >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-                    most = (k + 1) * slack(n) + 1
-                    for p in winnow(seeds, common, window_of(n, k), most).tolist():
-                        seed = int(seeds[p].astype(np.int64))
-                        if training:
-                            out.append((key, n, p, seed, False, band, p // reach_of(band)))
-                        if evaluation:
-                            for other in (band - 1, band, band + 1):
-                                at = p // reach_of(other)
-                                out.extend((key, n, p, seed, True, other, c) for c in (at - 1, at, at + 1))
-            yield pd.DataFrame(out, columns=["key", "n", "at", "seed", "evaluation", "band", "cell"])
+                ids = word_ids(joined.split(" "))
+                chosen = prefix(ids, level[(ids >> np.uint64(64 - COMMON_BITS)).astype(np.int64)])
+                signed, seeds, band = signature(ids), ids.astype(np.int64).tolist(), band_of(n)
+                for asked in (True,) * evaluation + (False,) * training:
+                    cells: dict = {}  # a word repeated in a cell is one row, with its first and last place there
+                    for other in (band - 1, band, band + 1) if asked else (band,):
+                        reach = reach_of(other)
+                        for p, before in chosen:
+                            for c in (p // reach - 1, p // reach, p // reach + 1) if asked else (p // reach,):
+                                low, high, _ = cells.get((seeds[p], other, c), (p, p, 0))
+                                cells[seeds[p], other, c] = min(low, p), max(high, p), before
+                    out.extend((key, n, low, high, before, seed, asked, other, c, *signed) for (seed, other, c), (low, high, before) in cells.items())
+            yield pd.DataFrame(out, columns=["key", "n", "low", "high", "before", "seed", "evaluation", "band", "cell", *_SIGNED])
 
     return run
 
@@ -242,7 +256,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ke, kt, e, t, seeds in zip(pairs.e_key.tolist(), pairs.t_key.tolist(), pairs.e_words.tolist(), pairs.t_words.tolist(), pairs.seeds.tolist()):
             a, b = e.split(" "), t.split(" ")
             matched = align(a, b, [(s["e_at"], s["t_at"]) for s in seeds])
-            if matched >= REPORTED * max(len(a), len(b)):
+            if matched >= least(max(len(a), len(b))):
                 found.append((ke, kt, matched / max(len(a), len(b))))
         yield pd.DataFrame(found, columns=["e_key", "t_key", "coverage"])
 
@@ -260,28 +274,36 @@ def overlaps(records: DataFrame) -> DataFrame:
     Records of the same words form one class and are compared once; classes are then expanded to their members.
     Null or too short texts, null ``rec_no`` and unknown splits are no case; repeated rows count once.
 
-    Common seeds do not gather all texts that hold them: a text selects its rarer seeds, and the join is by
-    seed, length band and place in the text. What is still skewed is left to the adaptive skew join.
+    No pair of at least REPORTED is passed over. Common words do not gather all texts that hold them: a text
+    selects its rarest words (see ``prefix``), and the join is by word, length band and place in the text. Joined
+    pairs remain where lengths, places, what comes before the word in both orders, and signatures allow a match.
+    What is still skewed is left to the adaptive skew join.
     """
     spark = records.sparkSession
     rows = spread(records.select("rec_no", side(F.col("split_name")).alias("evaluation"), "source", "text").where("rec_no IS NOT NULL AND evaluation IS NOT NULL AND text IS NOT NULL"))
     read = cut(rows.mapInPandas(_texts, "rec_no long, evaluation boolean, source string, key string, n long, words string"))
     members = read.select("rec_no", "evaluation", "source", "key").distinct()
     classes = read.groupBy("key").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.bool_or("evaluation").alias("evaluation"), F.bool_or(~F.col("evaluation")).alias("training"))
-    counts = cut(classes.select("words").mapInPandas(_count_seeds, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    rare = max(RARE, int(4 * (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] >> RARITY_BITS)))
-    hot = counts.where(F.col("n") > rare).toArrow()
-    level = np.zeros(1 << RARITY_BITS, np.uint8)
-    level[hot["bucket"].to_numpy()] = np.floor(4 * np.log2(hot["n"].to_numpy() / rare)).astype(np.uint8) + 1
-    prints = cut(classes.mapInPandas(_fingerprints(spark.sparkContext.broadcast(level)), "key string, n long, at long, seed long, evaluation boolean, band long, cell long"))
-    e = prints.where("evaluation").select(F.col("key").alias("e_key"), F.col("n").alias("e_n"), F.col("at").alias("e_at"), "seed", "band", "cell")
-    t = prints.where("NOT evaluation").select(F.col("key").alias("t_key"), F.col("n").alias("t_n"), F.col("at").alias("t_at"), "seed", "band", "cell")
-    alike = (F.least("e_n", "t_n") >= F.greatest("e_n", "t_n") * F.lit(SOUGHT) - 1e-6) & (F.abs(F.col("e_at") - F.col("t_at")) <= F.greatest("e_n", "t_n") * F.lit(1 - SOUGHT) + 1e-6)
+    counts = cut(classes.select("words").mapInPandas(_count_words, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    rare = max(1, int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] >> COMMON_BITS))
+    hot = counts.where(F.col("n") > rare).select(F.col("bucket").cast("int"), F.least(F.floor(8 * F.log2(F.col("n") / rare)) + 1, F.lit(255)).cast("short").alias("level")).toArrow()
+    level = np.zeros(1 << COMMON_BITS, np.uint8)
+    level[hot["bucket"].to_numpy()] = hot["level"].to_numpy()
+    kinds = "key string, n long, low long, high long, before long, seed long, evaluation boolean, band long, cell long, " + ", ".join(f"{c} long" for c in _SIGNED)
+    prints = cut(classes.mapInPandas(_fingerprints(spark.sparkContext.broadcast(level)), kinds))
+    own = ("key", "n", "low", "high", "before", *_SIGNED)
+    e = prints.where("evaluation").select("seed", "band", "cell", *(F.col(c).alias(f"e_{c}") for c in own))
+    t = prints.where("NOT evaluation").select("seed", "band", "cell", *(F.col(c).alias(f"t_{c}") for c in own))
+    need = F.ceil(F.greatest("e_n", "t_n") * F.lit(REPORTED) - 1e-9)
+    reach = F.greatest("e_n", "t_n") - need
+    alike = (F.least("e_n", "t_n") >= need) & (F.col("e_low") - F.col("t_high") <= reach) & (F.col("t_low") - F.col("e_high") <= reach)
+    first = (F.col("e_before") <= F.col("e_n") - need) & (F.col("t_before") <= F.col("t_n") - need)
+    differing = sum((F.bit_count(F.col(f"e_{c}").bitwiseXOR(F.col(f"t_{c}"))) for c in _SIGNED), F.lit(0))
     pairs = (
         e.join(t, ["seed", "band", "cell"])
-        .where(alike & (F.col("e_key") != F.col("t_key")))
+        .where(alike & first & (differing <= F.col("e_n") + F.col("t_n") - 2 * need) & (F.col("e_key") != F.col("t_key")))
         .groupBy("e_key", "t_key")
-        .agg(F.collect_set(F.struct("e_at", "t_at")).alias("seeds"))
+        .agg(F.collect_set(F.struct(F.col("e_low").alias("e_at"), F.col("t_low").alias("t_at"))).alias("seeds"))
     )
     words = classes.select("key", "words")
     near = (

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,3 +143,61 @@ def test_selection_keeps_a_seed_of_every_long_run():
             window = range(i, i + 3)
             best = min(window, key=lambda p: (common[p], seeds[p]))
             assert common[best] or best in picked
+
+
+def test_no_near_copy_of_common_phrases_is_missed(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(63)]
+    short = [[f"v{j}x{i}" for i in range(n)] for j, n in enumerate((7, 8, 9, 13, 14))]
+    data = []
+
+    def add(split, words):
+        data.append((len(data), "id", split, "s", " ".join(words), None, "x"))
+
+    for i in range(300):  # every word in a row of the base is held by hundreds
+        add("indexed", vary(rng, base, "mixed", rng.choice((0.05, 0.14, 0.25))) if i % 2 else base[: 31 + i % 3] + [f"own{i}x{j}" for j in range(30)])
+        add("indexed", [f"own{i}y{j}" for j in range(30)] + base[31:])
+        add("calibration", rng.choice(short) + [f"z{rng.randrange(3)}"])
+    for i in range(30):
+        for first in range(3):
+            add("test", [w if (j + first) % 7 else f"new{i}x{j}" for j, w in enumerate(base)])  # runs of six
+        add("tuning", vary(rng, base, "mixed", 0.14))
+        words = list(rng.choice(short))
+        words[rng.randrange(len(words))] = f"new{i}"
+        add("test", words)
+    # as many words added as dropped, at other places: runs of three are all that is left
+    add("test", [x for j, w in enumerate(base) for x in ([w, f"more{j}"] if j % 7 == 3 else [] if j % 7 == 6 else [w])])
+    add("indexed", base)
+    got = {(r.eval_rec, r.train_rec): r.coverage for r in O.overlaps(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()}
+    want = brute(data)
+    assert set(got) == set(want) and len(want) > 1000
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in got)
+
+
+def test_texts_of_one_word_repeated_stay_few_rows():
+    ids = O.word_ids(["buy", "now"] * 10_000)
+    rows = list(O._fingerprints(type("B", (), {"value": np.zeros(1 << O.COMMON_BITS, np.uint8)}))(iter([pd.DataFrame({"key": ["k"], "n": [20_000], "words": ["buy now " * 9_999 + "buy now"], "evaluation": [True], "training": [True]})])))
+    assert len(O.prefix(ids, np.zeros(20_000, np.uint8))) == 10_000 and len(rows[0]) < 100
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=5, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.sampled_from("abcxyz"), st.booleans()), max_size=6), st.lists(st.integers(0, 3), min_size=11, max_size=11))
+def test_a_pair_to_be_reported_shares_a_place_of_its_selection(a, changes, levels):
+    b = list(a)
+    for at, word, drop in changes:
+        if drop and b:
+            b.pop(at % len(b))
+        else:
+            b.insert(at % (len(b) + 1), word)
+    need = O.least(max(len(a), len(b)))
+    if not b or slow_lcs(a, b) < need:
+        return
+    level = dict(zip("abcdefghxyz", levels))
+    sides = []
+    for words in (a, b):
+        own = O.prefix(O.word_ids(words), np.array([level[w] for w in words], np.uint8))
+        sides.append([(words[at], at) for at, before in own if before <= len(words) - need])
+    reach = max(len(a), len(b)) - need
+    assert any(x == y and abs(i - j) <= reach for x, i in sides[0] for y, j in sides[1])
+    differing = sum(((x ^ y) & 2**64 - 1).bit_count() for x, y in zip(*(O.signature(O.word_ids(w)) for w in (a, b))))
+    assert differing <= len(a) + len(b) - 2 * need
