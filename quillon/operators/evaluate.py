@@ -142,9 +142,12 @@ def survivors(rows: DataFrame, k: int) -> DataFrame:
 
 
 def enclosure(hits: DataFrame, truth: DataFrame) -> DataFrame:
-    """Hits whose true score lies outside their interval, their width, and how much of it the estimate uses, in all."""
-    j = hits.join(truth.select("query_id", "row_id", F.col("score").alias("true_score")), ["query_id", "row_id"])
-    outside = (F.col("true_score") < F.col("lower")) | (F.col("true_score") > F.col("upper"))
+    """Hits whose true score lies outside their interval, their width, and how much of it the estimate uses, in all.
+
+    ``truth`` has the true score of every hit; a hit that it lacks is counted, as a violation.
+    """
+    j = hits.join(truth.select("query_id", "row_id", F.col("score").alias("true_score")), ["query_id", "row_id"], "left")
+    outside = F.coalesce((F.col("true_score") < F.col("lower")) | (F.col("true_score") > F.col("upper")), F.lit(True))
     half = (F.col("upper") - F.col("lower")) / 2
     slack = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.col("true_score") - (F.col("upper") + F.col("lower")) / 2) / half))
     return j.agg(F.count("*").alias("hits"), F.count_if(outside).alias("violations"), F.max(half).alias("widest_half"), F.max(slack).alias("largest_slack"), F.min(slack).alias("least_slack"))

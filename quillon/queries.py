@@ -232,8 +232,13 @@ def search_trained(spark, d):
 
 def interval_enclosure(spark, d):
     rows, encoded, model = _trained(spark, d)
-    hits = search.search(encoded, _asked(rows), model, K, exclude="own")
-    return evaluate.enclosure(hits, exact.exact_topk(rows, _asked(rows), 1000, exclude="own"))
+    asked = _asked(rows)
+    hits = cut(search.search(encoded, asked, model, K, exclude="own"))
+    truth = (
+        hits.select("query_id", "row_id").join(rows, "row_id").join(asked.select("query_id", F.col("v").alias("q")), "query_id")
+        .select("query_id", "row_id", (vectors.dot(F.col("q"), F.col("v")) / (vectors.norm(F.col("q")) * vectors.norm(F.col("v")))).alias("score"))
+    )
+    return evaluate.enclosure(hits, truth)
 
 
 def trained_recall(spark, d):

@@ -2,10 +2,12 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from helpers import DATA, duckdb_rows, spark_rows
 
 from quillon import queries as core
+from quillon.operators import evaluate
 
 SF = "sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(f"{DATA}/{SF}"), reason="no test data")
@@ -29,6 +31,21 @@ def test_intervals_enclose_and_recall_is_high(spark):
         assert abs(r.transform + r.reconstruction + r.serving - 1) < 1e-6
 
 
+def test_intervals_of_all_hits_are_checked_whatever_their_exact_rank(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 64))
+    x[::2] = x[0] + 1e-4 * rng.standard_normal((1000, 64))  # with the 500 below, more than 1,000 alike
+    x[1::4] = x[0] + 1e-4 * rng.standard_normal((500, 64))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    said = core.interval_enclosure(spark, str(tmp_path)).first()
+    assert said["hits"] == 40 * 10 and said["violations"] == 0
+    hits = spark.createDataFrame([(0, 1, 0.4, 0.6), (0, 2, 0.4, 0.6), (0, 3, 0.4, 0.6)], "query_id long, row_id long, lower double, upper double")
+    truth = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.3)], "query_id long, row_id long, score double")
+    said = evaluate.enclosure(hits, truth).first()
+    assert (said["hits"], said["violations"]) == (3, 2)
+
+
 def test_generations_are_searchable_one_by_one(spark):
     got = core.append_generations(spark, f"{DATA}/{SF}").collect()
     assert {h.generation for h in got} == {1, 2} and len(got) == 2 * 10 * 10
