@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quillon.common import cut
 from quillon.errors import InvalidTraining
 from quillon.functions import codec
 from quillon.functions.codec import Model
@@ -45,3 +47,49 @@ def training_matrix(rows: DataFrame, order: str, spec: CodecSpec) -> np.ndarray:
     if not LEAST_TRAINING < len(some) <= MAX_TRAINING:
         raise InvalidTraining(f"{len(some)} training rows; more than {LEAST_TRAINING} and at most {MAX_TRAINING} are needed")
     return matrix(some.v, spec.dim)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Integers of the same order as the numbers; -0 is 0, NaN above all."""
+    bits = np.where(np.isnan(x), np.float32(np.nan), x + np.float32(0)).astype(np.float32).view(np.int32).astype(np.int64)
+    return np.where(bits < 0, -(bits & 0x7FFFFFFF), bits)
+
+
+def _number(value: int) -> float:
+    x = float(np.int32(abs(value)).view(np.float32))
+    return -x if value < 0 else x
+
+
+def centers_of(rows: DataFrame, spec: CodecSpec) -> DataFrame:
+    """``coord, code, center``: ``codec.quantile_centers`` of any number of rows ``v``, exactly.
+
+    A first pass counts values by their leading 16 bits, at most 65,536 buckets a coordinate, which gives the
+    buckets that hold the ranks; a second counts single values in those, again at most 65,536 a bucket. On the driver
+    there are only the ranks, one per center.
+    """
+    spark, dim = rows.sparkSession, spec.dim
+
+    def count(bucket_of):
+        def run(batches):
+            for part in batches:
+                ordered = _ordered(matrix(part.v, dim))
+                for c in range(dim):
+                    values, n = np.unique(bucket_of(c, ordered[:, c]), return_counts=True)
+                    yield pd.DataFrame({"coord": c, "value": values, "n": n})
+
+        return rows.select("v").mapInPandas(run, "coord int, value long, n long").groupBy("coord", "value").agg(F.sum("n").alias("n"))
+
+    def at_rank(counts: DataFrame, by: list[str], ranks: DataFrame) -> DataFrame:
+        upto = F.sum("n").over(Window.partitionBy(*by).orderBy("value"))
+        placed = counts.withColumn("upto", upto).join(F.broadcast(ranks), by)
+        return placed.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+
+    buckets = cut(count(lambda c, v: v >> 16))
+    codes = F.explode(F.sequence(F.lit(0), F.lit(spec.centers - 1))).alias("code")
+    ranks = buckets.groupBy("coord").agg(F.sum("n").alias("all")).select("coord", "all", codes)
+    ranks = ranks.select("coord", "code", F.expr(f"code * (all - 1) div {spec.centers - 1}").alias("rank"))
+    held = at_rank(buckets, ["coord"], ranks).select("coord", "code", F.col("value").alias("bucket"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")).toPandas()
+    wanted = {c: np.unique(b) for c, b in held.groupby("coord").bucket}
+    single = count(lambda c, v: v[np.isin(v >> 16, wanted.get(c, ()))]).withColumn("bucket", F.shiftright("value", 16))
+    found = at_rank(single, ["coord", "bucket"], spark.createDataFrame(held, "coord int, code int, bucket long, rank long")).select("coord", "code", "value")
+    return spark.createDataFrame([(r.coord, r.code, _number(r.value)) for r in found.collect()], "coord int, code int, center float")

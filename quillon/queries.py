@@ -18,9 +18,9 @@ from quillon.operators import audit, drift, evaluate, exact, search
 from quillon.operators.blocks import matrix
 from quillon.operators.select import key_of_hex
 from quillon.plans.index import Index, IndexBuilder, dense_ids
-from quillon.plans.training import train, training_matrix
+from quillon.plans.training import centers_of, train, training_matrix
 from quillon.sources import generated
-from quillon.spec import SPEC_64
+from quillon.spec import MAX_TRAINING, SPEC_64
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,8 +142,7 @@ def rotation_roundtrip(spark, d):
 
 
 def quantile_centers(spark, d):
-    centers = codec.quantile_centers(training_matrix(_vectors(spark, d), "row_id", SPEC_64), 16)
-    return spark.createDataFrame([(c, k, float(x)) for c, row in enumerate(centers) for k, x in enumerate(row)], "coord int, code int, center float")
+    return centers_of(_vectors(spark, d), SPEC_64)
 
 
 def int4_encode(spark, d):
@@ -218,9 +217,14 @@ def search_dot(spark, d):
     return search.search(_encoded(spark, d, scaled=True), _asked(_vectors(spark, d, scaled=True)), frozen_model(), K, 100, "dot").select("query_id", "rank", "row_id", "score", "magnitude")
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """The training rows: at most so many, chosen by hash."""
+    return rows.join(text.hash_sample(rows, "row_id", most, "training").select("row_id"), "row_id")
+
+
 def _trained(spark, d) -> tuple[DataFrame, DataFrame, Model]:
     rows = _vectors(spark, d)
-    sample = rows.join(text.hash_sample(rows, "row_id", 8192, "training").select("row_id"), "row_id")
+    sample = _sample(rows, 8192)
     model = train(training_matrix(sample, "row_id", SPEC_64), SPEC_64, 7, None, spark)
     return rows, cut(search.encode_rows(rows, model, SEGMENT)), model
 
@@ -301,11 +305,11 @@ def certificate_soak(spark, d, trials: int = 20_000):
 
 
 def append_generations(spark, d):
-    """Two appends to a stored index, searched in both generations."""
+    """Two appends to a stored index, trained on three quarters of the rows or MAX_TRAINING of them, and searched in both generations."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
     rows = _vectors(spark, d)
-    builder = IndexBuilder.create(spark, path, rows.where("row_id % 4 <> 0"), 7, spec=SPEC_64, segment_rows=SEGMENT)
+    builder = IndexBuilder.create(spark, path, _sample(rows.where("row_id % 4 <> 0"), MAX_TRAINING), 7, spec=SPEC_64, segment_rows=SEGMENT)
     builder.push(rows.where("row_id % 2 = 0"), "row_id")
     builder.commit()
     builder.push(rows.where("row_id % 2 = 1"), "row_id")

@@ -51,6 +51,20 @@ def test_generations_are_searchable_one_by_one(spark):
     assert {h.generation for h in got} == {1, 2} and len(got) == 2 * 10 * 10
 
 
+def test_centers_and_generations_of_more_rows_than_training_takes(spark, tmp_path, monkeypatch):
+    from quillon.functions import codec
+    from quillon.plans import training
+
+    monkeypatch.setattr(training, "MAX_TRAINING", 500)
+    monkeypatch.setattr(core, "MAX_TRAINING", 500, raising=False)
+    x = np.random.default_rng(6).standard_normal((1001, 64)).astype(np.float32)
+    x[:400, 3], x[5:9, 4], x[:, 5] = -0.0, 0.0, 1.5  # equal values
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.coord, r.code): r.center for r in core.quantile_centers(spark, str(tmp_path)).collect()}
+    assert got == {(c, k): float(v) for c, row in enumerate(codec.quantile_centers(x, 16)) for k, v in enumerate(row)}
+    assert len(core.append_generations(spark, str(tmp_path)).collect()) == 2 * 21 * 10
+
+
 def test_the_rest_does_not_need_the_training_data_package():
     code = "import sys; sys.modules['quillon.llm'] = None; import __spark_entry__ as e; assert 'search_cosine' in e.queries() and not [q for q in e.queries() if q[0] == 'p' and q[1].isdigit()]; e.oracle_sql()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
