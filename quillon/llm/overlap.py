@@ -33,7 +33,7 @@ WHOLE = 4096
 #: Seeds per window of ``winnow``: ten words in a row.
 WIDE = 8
 
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"</?[a-z!?][^<>]*>", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
 #: UTF-8 read as a one-byte code page: a lead character and the right number of followers.
 _BROKEN = re.compile("[Â-ß].|[à-ï]..|[ð-ô]...", re.DOTALL)

@@ -201,3 +201,10 @@ def test_a_pair_to_be_reported_shares_a_place_of_its_selection(a, changes, level
     assert any(x == y and abs(i - j) <= reach for x, i in sides[0] for y, j in sides[1])
     differing = sum(((x ^ y) & 2**64 - 1).bit_count() for x, y in zip(*(O.signature(O.word_ids(w)) for w in (a, b))))
     assert differing <= len(a) + len(b) - 2 * need
+
+
+def test_markup_of_any_length_is_left_aside_and_comparisons_are_not():
+    long = "style='" + "margin: 0 auto; " * 40 + "'"
+    assert O.words_of(f"<P {long}>one <a href='x'>two</A>&lt;div {long}&gt; three<!-- four --></p>") == ["one", "two", "three"]
+    assert O.words_of("a < b and c > d") == ["a", "b", "and", "c", "d"]
+    assert O.words_of("<a" * 20_000) == ["a"] * 20_000
