@@ -35,7 +35,8 @@ def mix(sized: DataFrame, allocation: DataFrame, seed: int = 0) -> DataFrame:
     The copies that a document can expect are ``wanted / available``. As many whole copies as that holds are
     certain. The rest is drawn by Pareto order sampling: each document gets the rank
     [u / (1 - u)] / [p / (1 - p)] from a number u that is a hash of its id, the plan and the seed, and its
-    remaining chance p; those of smallest rank are taken until their tokens make up what is missing. The rank
+    remaining chance p; those of smallest rank are taken until their tokens make up what is missing. All documents
+    of a plan and source have the same p, so this is a draw with equal probabilities, in the order of u. The rank
     does not depend on partitions or runs. The sum ends within half a document of what is wanted, a document
     never exceeds ``max_repeats`` copies, since the rest is drawn only below that.
 
