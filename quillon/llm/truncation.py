@@ -27,7 +27,7 @@ REACH = 12
 PRIOR_ODDS = 0.5
 #: How many of the contexts each round looks at. Few texts are cut in just the same fine context, many in the same
 #: coarse one that no complete text ends in, so the coarse ones come first.
-DEPTHS = (4, 9, 9)
+DEPTHS = (4, 9)
 #: Lengths, in characters or bytes, below a field limit in which texts cut back to a word or a character end.
 SLACK = 16
 #: Texts that make a limit, and how many times as many as nearby.
@@ -364,10 +364,10 @@ def truncated(documents: DataFrame) -> DataFrame:
     found = None
     for turn, depth in enumerate(DEPTHS):
         if found is not None:
-            ends = ends.drop("complete").join(found.select("doc_id", (1 / (1 + F.exp("log_odds"))).alias("complete")), "doc_id")
+            ends = cut(ends.drop("complete").join(found.select("doc_id", (1 / (1 + F.exp("log_odds"))).alias("complete")), "doc_id"))
         ratios = cut(_ratios(ends, positions, depth))
         bins = ratios.groupBy("source", "cell", "part", F.round(F.col("log_ratio") * 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-        priors = bins.groupBy("source", "cell").applyInPandas(_odds, "s string, c string, r string, prior double")
+        priors = cut(bins.groupBy("source", "cell").applyInPandas(_odds, "s string, c string, r string, prior double"))
         anywhere = priors.where("c = 'plain'").select(F.col("s").alias("ps"), F.col("r").alias("pr"), F.col("prior").alias("transfer"))
         prior = F.greatest("prior", "transfer") if turn else F.when(F.col("kind") == "plain", F.log(F.lit(PRIOR_ODDS))).otherwise(F.col("prior"))
         found = (
