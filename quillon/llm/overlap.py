@@ -19,9 +19,9 @@ from quillon.common import cut, spread
 
 TRAINING = ("indexed", "calibration")
 EVALUATION = ("tuning", "test")
-#: Share of the longer text's words that must stand in the other in the same order: what is asked for, and what is
-#: reported. No pair of either is passed over.
-SOUGHT, REPORTED = 0.85, 0.84
+#: Share of the longer text's words that must stand in the other in the same order for a pair to be reported. No such
+#: pair is passed over.
+REPORTED = 0.85
 #: Texts of fewer words are no case.
 LEAST_WORDS = 5
 #: Buckets (as a power of 2) of the table that tells common words from rare ones: 16 MB whatever the data.
@@ -267,11 +267,11 @@ def side(split_name: Column) -> Column:
     return F.when(name.isin(*EVALUATION), True).when(name.isin(*TRAINING), False)
 
 
-def overlaps(records: DataFrame) -> DataFrame:
-    """Pairs of an evaluation and a training record of the same or nearly the same text:
-    ``eval_rec, train_rec, eval_source, coverage``.
+def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links between classes of records of the same words, and the members of the classes:
+    ``e_key, t_key, coverage`` and ``rec_no, evaluation, source, key``.
 
-    Records of the same words form one class and are compared once; classes are then expanded to their members.
+    Each class is compared once, however many records it has; one with members on both sides is linked to itself.
     Null or too short texts, null ``rec_no`` and unknown splits are no case; repeated rows count once.
 
     No pair of at least REPORTED is passed over. Common words do not gather all texts that hold them: a text
@@ -312,19 +312,29 @@ def overlaps(records: DataFrame) -> DataFrame:
         .mapInPandas(_verify, "e_key string, t_key string, coverage double")
     )
     same = classes.where("evaluation AND training").select(F.col("key").alias("e_key"), F.col("key").alias("t_key"), F.lit(1.0).alias("coverage"))
-    linked = near.unionByName(same)
+    return near.unionByName(same), members
+
+
+def overlaps(records: DataFrame) -> DataFrame:
+    """Pairs of an evaluation and a training record of the same or nearly the same text:
+    ``eval_rec, train_rec, eval_source, coverage``: the links of ``class_links`` expanded to their members."""
+    linked, members = class_links(records)
     evaluation = members.where("evaluation").select(F.col("key").alias("e_key"), F.col("rec_no").alias("eval_rec"), F.col("source").alias("eval_source"))
     training = members.where("NOT evaluation").select(F.col("key").alias("t_key"), F.col("rec_no").alias("train_rec")).distinct()
     return linked.join(evaluation, "e_key").join(training, "t_key").select("eval_rec", "train_rec", "eval_source", "coverage")
 
 
 def report(records: DataFrame) -> DataFrame:
-    """Per evaluation split and source: records, those found on the training side, their pairs and mean best coverage."""
-    found = overlaps(records).groupBy("eval_rec").agg(F.count_distinct("train_rec").alias("partners"), F.max("coverage").alias("coverage"))
+    """Per evaluation split and source: records, those found on the training side, the number of pairs they make and
+    their mean best coverage. Counted from links between classes and class sizes; no pair is expanded."""
+    linked, members = class_links(records)
+    sizes = members.where("NOT evaluation").groupBy(F.col("key").alias("t_key")).agg(F.count_distinct("rec_no").alias("size"))
+    by_class = linked.join(sizes, "t_key").groupBy("e_key").agg(F.sum("size").alias("partners"), F.max("coverage").alias("coverage"))
+    found = members.where("evaluation").select("rec_no", F.col("key").alias("e_key")).join(by_class, "e_key").groupBy("rec_no").agg(F.sum("partners").alias("partners"), F.max("coverage").alias("coverage"))
     name = F.lower(F.trim(F.col("split_name")))
     own = records.where(side(F.col("split_name"))).where("rec_no IS NOT NULL").select("rec_no", name.alias("split_name"), "source").distinct()
     return (
-        own.join(found, own.rec_no == found.eval_rec, "left")
+        own.join(found, "rec_no", "left")
         .groupBy("split_name", "source")
-        .agg(F.count("*").alias("records"), F.count("eval_rec").alias("found_records"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.avg("coverage").alias("mean_coverage"))
+        .agg(F.count("*").alias("records"), F.count("partners").alias("found_records"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.avg("coverage").alias("mean_coverage"))
     )
