@@ -26,7 +26,9 @@ TRAINING_ROWS = 16_384
 #: Pilot queries of a corpus, at most, on which the length of its walk is calibrated.
 PILOTS = 512
 #: The share of true neighbours that the walk is to reach.
-RECALL = 0.998
+RECALL = 0.985
+#: Cells that the heap of a walk gives out; a longer walk is ended by halving the distances in question.
+HEAP = 4096
 #: Rows of an index shard, about; also the number above which a single cell is dealt to several shards.
 SHARD_ROWS = 16_384
 #: Cosines that agree to so much are ties.
@@ -35,6 +37,8 @@ TIE = 1e-11
 MARGIN = 4e-6
 #: Queries scored at a time.
 QUERY_BLOCK = 512
+#: Queries of a corpus, about, that may meet in one task.
+QUERY_GROUP = 32_768
 
 
 @dataclass
@@ -49,6 +53,7 @@ class Model:
     shards: np.ndarray  # of each first centroid
     salts: np.ndarray  # shards over which a first centroid's rows are dealt
     count: int = field(default=1)  # shards in all
+    blocks: int = field(default=1)  # over which the queries are dealt
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -103,8 +108,11 @@ def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: float) -> floa
     """The summed distance up to which cells are visited until they hold ``want`` rows (multi-sequence walk)."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     a, b, rows = d1[o1].tolist(), d2[o2].tolist(), sizes[np.ix_(o1, o2)].tolist()
-    heap, seen, reach, last = [(a[0] + b[0], 0, 0)], 0.0, 0.0, len(b)
+    heap, seen, reach, last, given = [(a[0] + b[0], 0, 0)], 0.0, 0.0, len(b), 0
     while heap:
+        given += 1
+        if given > HEAP:
+            return _reach(d1, d2, sizes, want, reach)
         reach, i, j = heapq.heappop(heap)
         seen += rows[i][j]
         if seen >= want:
@@ -116,6 +124,26 @@ def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: float) -> floa
     return float("inf")
 
 
+def _reach(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: float, low: float) -> float:
+    """Where a walk that has come to ``low`` ends: the smallest sum of distances whose cells hold ``want`` rows."""
+    sums = (d1[:, None] + d2[None, :]).ravel()
+    at = np.flatnonzero((sizes.ravel() > 0) & (sums >= low))
+    seen, sums, rows = float(sizes.ravel()[sums < low].sum()), sums[at], sizes.ravel()[at]
+    while len(sums) > 64:
+        middle = np.partition(sums, len(sums) // 2)[len(sums) // 2]
+        below = sums < middle
+        held = float(rows[below].sum())
+        if seen + held >= want:
+            sums, rows = sums[below], rows[below]
+        else:
+            seen, sums, rows = seen + held, sums[~below], rows[~below]
+            if not below.any():
+                break
+    order = np.argsort(sums, kind="stable")
+    reached = np.flatnonzero(seen + np.cumsum(rows[order]) >= want)
+    return float(sums[order][reached[0]]) if len(reached) else float("inf")
+
+
 def fit(corpus: str, sample: np.ndarray, pilots: np.ndarray, rows: int, k: int | None = None) -> Model:
     """Codebooks from the sample's directions, and the share of it that pilots must visit for RECALL.
 
@@ -124,7 +152,7 @@ def fit(corpus: str, sample: np.ndarray, pilots: np.ndarray, rows: int, k: int |
     than in the sample, so that it errs on the long side. ``rows`` is the size of the whole corpus.
     """
     x, half = _unit(sample), DIMENSION // 2
-    k = min(len(x), k or max(2, min(256, int(2 ** round(np.log2(max(4.0, (rows / 24) ** 0.5)))))))
+    k = min(len(x), k or max(2, min(256, int(2 ** round(np.log2(max(4.0, rows**0.5)))))))  # about as many cells as rows
     first, second = _kmeans(x[:, :half], k), _kmeans(x[:, half:], k)
     c1, c2 = _distances(x[:, :half], first).argmin(1), _distances(x[:, half:], second).argmin(1)
     sizes = np.bincount(c1 * k + c2, minlength=k * k).reshape(k, k)
@@ -152,37 +180,44 @@ def fit(corpus: str, sample: np.ndarray, pilots: np.ndarray, rows: int, k: int |
     return Model(corpus, first, second, sizes, share, shards, salts, int(at) + 1)
 
 
-MODEL = "corpus string, k int, share double, count long, first binary, second binary, sizes binary, shards binary, salts binary"
+MODEL = "corpus string, k int, share double, count long, blocks long, first binary, second binary, sizes binary, shards binary, salts binary"
+
 
+def _fit_group(query_group: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id")
+        m = fit(key[0], _matrix(rows.embedding[rows.role == "index"]), _matrix(rows.embedding[rows.role == "pilot"]), int(rows.total.iloc[0]))
+        blocks = max(1, -(-int(rows.asked.iloc[0]) // query_group))
+        return pd.DataFrame(
+            [(m.corpus, len(m.first), m.share, m.count, blocks, m.first.tobytes(), m.second.tobytes(), m.sizes.astype(np.int32).tobytes(), m.shards.tobytes(), m.salts.tobytes())],
+            columns=[c.split()[0] for c in MODEL.split(", ")],
+        )
 
-def _fit_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id")
-    m = fit(key[0], _matrix(rows.embedding[rows.role == "index"]), _matrix(rows.embedding[rows.role == "pilot"]), int(rows.total.iloc[0]))
-    return pd.DataFrame([(m.corpus, len(m.first), m.share, m.count, m.first.tobytes(), m.second.tobytes(), m.sizes.astype(np.int32).tobytes(), m.shards.tobytes(), m.salts.tobytes())], columns=[c.split()[0] for c in MODEL.split(", ")])
+    return run
 
 
 def _restore(r) -> Model:
     k, of = r["k"], lambda name, kind: np.frombuffer(r[name], kind)
     return Model(
         r["corpus"], of("first", np.float32).reshape(k, -1), of("second", np.float32).reshape(k, -1), of("sizes", np.int32).reshape(k, k),
-        r["share"], of("shards", np.int64), of("salts", np.int64), r["count"],
+        r["share"], of("shards", np.int64), of("salts", np.int64), r["count"], r["blocks"],
     )
 
 
-def fit_all(vectors: DataFrame) -> DataFrame:
+def fit_all(vectors: DataFrame, query_group: int = QUERY_GROUP) -> DataFrame:
     """One row per corpus with indexed vectors. Pilots come from the calibration split, or else from the index."""
     indexed = vectors.where("split_name = 'indexed'")
-    totals = indexed.groupBy("corpus").agg(F.count("*").alias("total"))
+    totals = vectors.groupBy("corpus").agg(F.count_if(F.col("split_name") == "indexed").alias("total"), F.count_if(F.col("split_name") == "queries").alias("asked")).where("total > 0")
     drawn = lambda df, salt, n: smallest_per_group(
         df.withColumn("key", key_of_hash(F.lit(salt), "vec_id")).withColumn("most", F.lit(n)), ["corpus"], "key", "most", ["vec_id"]
     ).select("corpus", "vec_id", "embedding")
     sample = drawn(indexed, "sample", TRAINING_ROWS).withColumn("role", F.lit("index"))
     pilots = drawn(vectors.where("split_name = 'calibration'"), "pilot", PILOTS).withColumn("role", F.lit("pilot"))
-    return sample.unionByName(pilots).join(totals, "corpus").groupBy("corpus").applyInPandas(_fit_group, MODEL)
+    return sample.unionByName(pilots).join(totals, "corpus").groupBy("corpus").applyInPandas(_fit_group(query_group), MODEL)
 
 
 def _place(models):
-    """The shard and cell of each indexed vector."""
+    """The shard and cell of each indexed vector, once for each block of queries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         half = DIMENSION // 2
@@ -192,7 +227,9 @@ def _place(models):
                 x, ids = _unit(raw), part.vec_id.to_numpy()
                 c1, c2 = _distances(x[:, :half], m.first).argmin(1), _distances(x[:, half:], m.second).argmin(1)
                 shard = m.shards[c1] + (ids * 0x9E3779B1 & 0xFFFFFFFF) % m.salts[c1]
-                yield pd.DataFrame({"corpus": corpus, "shard": shard, "vec_id": ids, "cell": c1 * len(m.first) + c2, "raw": [r.tobytes() for r in raw]})
+                placed = pd.DataFrame({"corpus": corpus, "shard": shard, "block": 0, "vec_id": ids, "cell": c1 * len(m.first) + c2, "raw": [r.tobytes() for r in raw]})
+                for block in range(m.blocks):
+                    yield placed.assign(block=block)
 
     return run
 
@@ -215,11 +252,11 @@ def _route(models):
                 for i, q in enumerate(part.vec_id.tolist()):
                     reach = walk(d1[i], d2[i], m.sizes, want)
                     for c in np.flatnonzero(d1[i] + d2[i].min() <= reach + 1e-6):
-                        out.append((corpus, m.shards[c], m.salts[c], q, reach, raw[i].tobytes()))
-            frame = pd.DataFrame(out, columns=["corpus", "shard", "salts", "vec_id", "reach", "raw"]).drop_duplicates(["corpus", "shard", "vec_id"])
+                        out.append((corpus, m.shards[c], (q * 0x85EBCA6B & 0xFFFFFFFF) % m.blocks, m.salts[c], q, reach, raw[i].tobytes()))
+            frame = pd.DataFrame(out, columns=["corpus", "shard", "block", "salts", "vec_id", "reach", "raw"]).drop_duplicates(["corpus", "shard", "vec_id"])
             frame = frame.loc[frame.index.repeat(frame.salts)]
             frame["shard"] += frame.groupby(["corpus", "shard", "vec_id"]).cumcount()
-            yield frame[["corpus", "shard", "vec_id", "reach", "raw"]]
+            yield frame[["corpus", "shard", "block", "vec_id", "reach", "raw"]]
 
     return run
 
@@ -288,17 +325,18 @@ def _search(models, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, query_group: int = QUERY_GROUP) -> DataFrame:
     """``query_vec_id, near_vec_id, cosine, rank``: for each usable vector of split ``queries`` the k most similar
     indexed vectors of its corpus, all if there are fewer; ties go to the lower id.
 
     Fitted models are sent to all executors, a few kilobytes a corpus; where they would exceed BROADCAST_LIMIT
     the corpora are worked off in groups that do not. Rows are dealt to shards by cell, a hot cell to several, and
-    a query goes only to shards that its walk enters.
+    a query goes only to shards that its walk enters. The queries of a corpus are dealt to blocks of about
+    ``query_group``, each of which meets a copy of the shard, so that no task holds more.
     """
     spark = vectors.sparkSession
     clean = cut(usable(vectors))
-    models = cut(fit_all(clean))
+    models = cut(fit_all(clean, query_group))
     size = F.length("first") + F.length("second") + F.length("sizes") + F.length("shards") + F.length("salts")
     groups: list[list[str]] = [[]]
     held = 0
@@ -313,9 +351,9 @@ def nearest(vectors: DataFrame, k: int = 10) -> DataFrame:
         some = {r["corpus"]: _restore(r) for _, r in models.where(F.col("corpus").isin(group)).toPandas().iterrows()}
         shared = spark.sparkContext.broadcast(some)
         mine = clean.where(F.col("corpus").isin(group))
-        entries = spread(mine.where("split_name = 'indexed'")).mapInPandas(_place(shared), "corpus string, shard long, vec_id long, cell long, raw binary")
-        routed = spread(mine.where("split_name = 'queries'")).mapInPandas(_route(shared), "corpus string, shard long, vec_id long, reach double, raw binary")
-        part = entries.groupBy("corpus", "shard").cogroup(routed.groupBy("corpus", "shard")).applyInPandas(_search(shared, k), "query_vec_id long, near_vec_id long, cosine double")
+        entries = spread(mine.where("split_name = 'indexed'")).mapInPandas(_place(shared), "corpus string, shard long, block long, vec_id long, cell long, raw binary")
+        routed = spread(mine.where("split_name = 'queries'")).mapInPandas(_route(shared), "corpus string, shard long, block long, vec_id long, reach double, raw binary")
+        part = entries.groupBy("corpus", "shard", "block").cogroup(routed.groupBy("corpus", "shard", "block")).applyInPandas(_search(shared, k), "query_vec_id long, near_vec_id long, cosine double")
         found = part if found is None else found.unionByName(part)
     by_query = Window.partitionBy("query_vec_id")
     score = by_query.orderBy(F.desc("cosine"), "near_vec_id")
@@ -326,3 +364,9 @@ def nearest(vectors: DataFrame, k: int = 10) -> DataFrame:
         .where(F.col("rank") <= k)
         .select("query_vec_id", "near_vec_id", "cosine", "rank")
     )
+
+
+def index_report(vectors: DataFrame) -> DataFrame:
+    """Per corpus the fitted index: ``corpus, centroids`` (of each half), ``shards, query_blocks`` and
+    ``share_scored``, the share of its rows that a query's walk is calibrated to visit."""
+    return fit_all(usable(vectors)).select("corpus", F.col("k").alias("centroids"), F.col("count").alias("shards"), F.col("blocks").alias("query_blocks"), F.col("share").alias("share_scored"))

@@ -42,6 +42,12 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest(read(spark, d, "corpus_vectors"))
 
 
+def p2_index(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.neighbours import index_report
+
+    return index_report(read(spark, d, "corpus_vectors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 

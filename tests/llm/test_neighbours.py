@@ -52,6 +52,14 @@ def test_recall_against_brute_force(spark, clean):
     assert all(len(got[q]) == min(10, 7 if q >= 3280 else 3000) for q in got)
 
 
+def test_queries_dealt_to_blocks_find_the_same(spark, clean):
+    df = table(spark, clean)
+    assert found(N.nearest(df, query_group=9)) == found(N.nearest(df))
+    report = {r.corpus: r for r in N.fit_all(N.usable(df), 9).collect()}
+    assert report["big"].blocks == 9 and report["small"].blocks == 1
+    assert {r.corpus: r.share_scored for r in N.index_report(df).collect()}["big"] < 0.34
+
+
 def test_dirty_rows_ties_copies_and_equal_directions(spark, clean):
     some = [r for r in clean if r[1] == "small"]
     base = next(r[3] for r in some if r[2] == "queries")
@@ -80,6 +88,18 @@ def test_the_walk_visits_cells_by_summed_distance(spark):
     assert N.walk(d1, d2, sizes, sizes.sum() + 1) == float("inf")
 
 
+def test_a_long_walk_is_ended_by_halving_with_the_same_result(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in range(40):
+        d1, d2, sizes = rng.integers(0, 30, 40) / 7, rng.random(40), rng.integers(0, 4, (40, 40))
+        want = rng.integers(1, sizes.sum() + 1)
+        monkeypatch.setattr(N, "HEAP", 10**9)
+        whole = N.walk(d1, d2, sizes, want)
+        monkeypatch.setattr(N, "HEAP", 5 + n)
+        assert N.walk(d1, d2, sizes, want) == pytest.approx(whole, abs=1e-12)
+    assert N.walk(d1, d2, sizes, sizes.sum() + 1) == float("inf")
+
+
 def test_a_hot_cell_is_dealt_to_several_shards(monkeypatch):
     monkeypatch.setattr(N, "SHARD_ROWS", 100)
     rng = np.random.default_rng(4)
