@@ -28,7 +28,7 @@ PILOTS = 512
 #: The share of true neighbours that the walk is to reach.
 RECALL = 0.985
 #: Cells that the heap of a walk gives out; a longer walk is ended by halving the distances in question.
-HEAP = 4096
+HEAP = 1024
 #: Rows of an index shard, about; also the number above which a single cell is dealt to several shards.
 SHARD_ROWS = 16_384
 #: Cosines that agree to so much are ties.
@@ -104,17 +104,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: float) -> float:
-    """The summed distance up to which cells are visited until they hold ``want`` rows (multi-sequence walk)."""
+def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, want: float, rows: list[list[int]] | None = None) -> float:
+    """The summed distance up to which cells are visited until they hold ``want`` rows (multi-sequence walk).
+
+    ``rows`` is ``sizes`` as lists, made once for many walks."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    a, b, rows = d1[o1].tolist(), d2[o2].tolist(), sizes[np.ix_(o1, o2)].tolist()
+    a, b, rows = d1[o1].tolist(), d2[o2].tolist(), rows or sizes.tolist()
+    of1, of2 = o1.tolist(), o2.tolist()
     heap, seen, reach, last, given = [(a[0] + b[0], 0, 0)], 0.0, 0.0, len(b), 0
     while heap:
         given += 1
         if given > HEAP:
             return _reach(d1, d2, sizes, want, reach)
         reach, i, j = heapq.heappop(heap)
-        seen += rows[i][j]
+        seen += rows[of1[i]][of2[j]]
         if seen >= want:
             return reach
         if j + 1 < last:
@@ -248,9 +251,10 @@ def _route(models):
                 raw = _matrix(part.embedding)
                 x = _unit(raw)
                 d1, d2 = _distances(x[:, :half], m.first), _distances(x[:, half:], m.second)
+                held = m.sizes.tolist()
                 want = max(m.share * m.sizes.sum(), min(m.sizes.sum(), 10 * len(m.first) ** 0.5))
                 for i, q in enumerate(part.vec_id.tolist()):
-                    reach = walk(d1[i], d2[i], m.sizes, want)
+                    reach = walk(d1[i], d2[i], m.sizes, want, held)
                     for c in np.flatnonzero(d1[i] + d2[i].min() <= reach + 1e-6):
                         out.append((corpus, m.shards[c], (q * 0x85EBCA6B & 0xFFFFFFFF) % m.blocks, m.salts[c], q, reach, raw[i].tobytes()))
             frame = pd.DataFrame(out, columns=["corpus", "shard", "block", "salts", "vec_id", "reach", "raw"]).drop_duplicates(["corpus", "shard", "vec_id"])
