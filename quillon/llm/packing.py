@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 #: Documents packed together in one task; what is left open per task is at most a few containers.
 BLOCK = 16_384
 
+#: Tokens at which attention costs as much as all else: a token's cost grows with the length of its sequence.
+ATTENTION = 24_576
+#: Containers of so many sizes are tried in all combinations, more of them only from each size upwards and downwards.
+COMBINED = 4
+
 PLACED = "block long, bin long, capacity long, doc_id long, piece long, start long, tokens long"
 
 
@@ -47,14 +53,50 @@ def pack_block(sizes: list[int], capacities: list[int], cost=None) -> tuple[list
     return place, [next(c for c in allowed if c >= u) for u in used]
 
 
-def pack(sized: DataFrame, capacities: list[int], block: int = BLOCK) -> DataFrame:
+def attention_cost(capacity: int) -> float:
+    """The cost of a whole container: linear in its room, padding included, and quadratic by attention."""
+    return capacity * (1 + capacity / ATTENTION)
+
+
+def pack_jointly(sizes: list[int], capacities: list[int], cost=attention_cost) -> tuple[list[int], list[int]]:
+    """``pack_block`` with the choice of container sizes whose containers cost least in all.
+
+    Small containers are cheaper per token if filled, large ones leave less room unused; which of them pay depends
+    on the items. So every combination of sizes that holds the largest item is packed and the cheapest kept (of
+    equal ones that of fewer sizes). A container is downsized to any permitted size, chosen or not.
+    """
+    allowed, largest = sorted(set(capacities)), max(sizes, default=1)
+    if len(allowed) <= COMBINED:
+        choices = [c for n in range(1, len(allowed) + 1) for c in combinations(allowed, n)]
+    else:
+        choices = [(c,) for c in allowed] + [c for i in range(1, len(allowed)) for c in (tuple(allowed[:i + 1]), tuple(allowed[i - 1:]))]
+    best = None
+    for chosen in choices:
+        if chosen[-1] < largest:
+            continue
+        place, caps = pack_block(sizes, list(chosen), cost)
+        used = [0] * len(caps)
+        for b, n in zip(place, sizes):
+            used[b] += n
+        caps = [next(c for c in allowed if c >= u) for u in used]
+        total = sum(map(cost, caps))
+        if best is None or total < best[0]:
+            best = (total, place, caps)
+    if best is None:
+        raise ValueError(f"an item of {largest} exceeds the largest capacity")
+    return best[1], best[2]
+
+
+def pack(sized: DataFrame, capacities: list[int], block: int = BLOCK, cost=attention_cost) -> DataFrame:
     """Where each document goes: ``block, bin, capacity, doc_id, piece, start, tokens``.
 
     ``sized`` has unique ``doc_id`` and ``tokens``. Only a document larger than the largest capacity is split:
     into full containers and a rest that is packed like an item. ``start`` counts tokens within the bin.
     Documents without tokens (null or empty texts) or without id take no place. Documents are dealt to blocks
     by a hash of their id, so that any number of them, of any sizes, is packed in parallel; bins never span
-    blocks. Repeated ids count as one document of the largest of their sizes.
+    blocks. Each block chooses its mix of sizes jointly (``pack_jointly``). The number of blocks follows that of
+    the documents, so a table that has grown is packed anew as a whole; to keep placements, pack what has come
+    since on its own. Repeated ids count as one document of the largest of their sizes.
     """
     if not capacities or min(capacities) < 1:
         raise ValueError("capacities must be positive")
@@ -71,7 +113,7 @@ def pack(sized: DataFrame, capacities: list[int], block: int = BLOCK) -> DataFra
                 ids.append(doc)
                 pieces.append(p)
                 sizes.append(min(largest, n - p * largest))
-        place, caps = pack_block(sizes, capacities)
+        place, caps = pack_jointly(sizes, capacities, cost)
         at, starts = [0] * len(caps), []
         for b, n in zip(place, sizes):
             starts.append(at[b])
@@ -82,7 +124,8 @@ def pack(sized: DataFrame, capacities: list[int], block: int = BLOCK) -> DataFra
 
 
 def named_capacities(pack_capacities: DataFrame, upto: str | None = None) -> dict[int, str]:
-    """Sizes and names of the permitted containers, at most ``LIMIT`` of them; ``upto`` leaves out larger ones."""
+    """Sizes and names of the permitted containers, at most ``LIMIT`` of them; ``upto`` leaves out larger ones.
+    Containers of equal size are one, which bears all their names."""
     limit = 1000
     rows = pack_capacities.where("capacity_tokens > 0 AND container_name IS NOT NULL").limit(limit + 1).collect()
     if len(rows) > limit:
@@ -90,7 +133,11 @@ def named_capacities(pack_capacities: DataFrame, upto: str | None = None) -> dic
     most = next((r.capacity_tokens for r in rows if r.container_name == upto), None)
     if upto is not None and most is None:
         raise ValueError(f"no container {upto!r}")
-    return {r.capacity_tokens: r.container_name for r in sorted(rows, key=lambda r: r.container_name) if most is None or r.capacity_tokens <= most}
+    names: dict[int, list[str]] = {}
+    for r in rows:
+        if most is None or r.capacity_tokens <= most:
+            names.setdefault(r.capacity_tokens, []).append(r.container_name)
+    return {c: ", ".join(sorted(set(n))) for c, n in names.items()}
 
 
 def fill_report(placed: DataFrame, names: dict[int, str]) -> DataFrame:

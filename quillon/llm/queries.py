@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.common import read
 
+#: In the mixes a document's chance grows with the square root of its tokens: long texts are worth more, without
+#: crowding out short ones.
+SIZE_POWER = 0.5
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +34,12 @@ def p1_sample_growth(spark: SparkSession, d: str) -> DataFrame:
     return sample_growth(read(spark, d, "drift_rows"), read(spark, d, "drift_indexes"))
 
 
+def p1_commits(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.sampling import growth_and_commits
+
+    return growth_and_commits(read(spark, d, "drift_rows"), read(spark, d, "drift_indexes"), read(spark, d, "drift_commits"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from quillon.llm.neighbours import nearest
 
@@ -116,7 +126,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     from quillon.llm.mixing import shares
     from quillon.llm.tokens import sized
 
-    return shares(sized(read(spark, d, "documents")), read(spark, d, "mix_targets"))
+    return shares(sized(read(spark, d, "documents")), read(spark, d, "mix_targets"), power=SIZE_POWER)
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +134,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     from quillon.llm.tokens import sized
 
     documents = sized(read(spark, d, "documents"))
-    return mix(documents, allocate(documents, read(spark, d, "mix_targets")))
+    return mix(documents, allocate(documents, read(spark, d, "mix_targets")), power=SIZE_POWER)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -183,6 +193,16 @@ def oracle_sql() -> dict[str, str]:
 by_batch AS (SELECT index_id, generation, count(*) AS batch_seen, count(*) FILTER (WHERE rn <= ceil(round(permille / 1000.0 * n, 9))) AS batch_sampled FROM ranked GROUP BY ALL)
 SELECT *, (sum(batch_seen) OVER w)::BIGINT AS seen_count, (sum(batch_sampled) OVER w)::BIGINT AS sample_size FROM by_batch
 WINDOW w AS (PARTITION BY index_id ORDER BY generation)""",
+        "p1_commits": f"""WITH {_BATCHES},
+counted AS (SELECT index_id, generation, count(*) AS n, count(*) FILTER (WHERE ('0x' || left(priority, 13))::BIGINT::HUGEINT * 1000 < permille::HUGEINT * 4503599627370496) AS u,
+  count(*) FILTER (WHERE rn <= ceil(round(permille / 1000.0 * n, 9))) AS q FROM ranked GROUP BY ALL),
+running AS (SELECT index_id, generation, (sum(n) OVER w)::BIGINT AS seen_count, (sum(u) OVER w)::BIGINT AS threshold_size, (sum(q) OVER w)::BIGINT AS batch_size FROM counted
+  WINDOW w AS (PARTITION BY index_id ORDER BY generation)),
+published AS (SELECT k.index_id, c.generation, first(c.seen_count ORDER BY committed_at DESC NULLS LAST, c.seen_count DESC NULLS LAST, c.sample_size DESC NULLS LAST) AS published_seen,
+  first(c.sample_size ORDER BY committed_at DESC NULLS LAST, c.seen_count DESC NULLS LAST, c.sample_size DESC NULLS LAST) AS published_size
+  FROM drift_commits c JOIN known k ON k.id = regexp_replace(lower(trim(c.index_id)), '^(urn:uuid:|0x)|[-{{}}[:space:]]', '', 'g') WHERE c.generation IS NOT NULL GROUP BY ALL)
+SELECT index_id, generation, published_seen::DOUBLE AS published_seen, seen_count, published_size::DOUBLE AS published_size, threshold_size, batch_size, coalesce(published_seen = seen_count, false) AS seen_agrees
+FROM published LEFT JOIN running USING (index_id, generation)""",
         "p4_found": f"SELECT list_name, query_id, row_id FROM {_LISTS}",
         "p4_ranked": f"SELECT * FROM {_LISTS}",
         "p5_found": _P5,

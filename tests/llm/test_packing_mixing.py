@@ -112,6 +112,48 @@ def test_chances_are_kept(spark):
     assert len(per) == 60 and 25 <= min(per) and max(per) <= 75  # 50 expected, standard deviation 6
 
 
+def test_unequal_chances_are_kept_and_no_document_exceeds_its_repeats(spark):
+    """Documents of 5, 20 and 80 tokens whose chance grows with the root of their size, drawn for many plans."""
+    data = [(i, "a", (5, 20, 80)[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([(f"p{i}", "a", 0.3, 1) for i in range(300)], "plan_name string, source string, target_share double, max_repeats int")
+    allocation = M.allocate(docs, targets)
+    drawn = M.mix(docs, allocation, power=0.5)
+    per = {r.tokens: r["count"] / (20 * 300) for r in drawn.groupBy("tokens").count().collect()}
+    x = 0.3 * sum(t for *_, t in data) / sum(t**1.5 for *_, t in data)
+    for t in (5, 20, 80):
+        assert per[t] == pytest.approx(x * t**0.5, rel=0.12)
+    sums = [r[0] for r in drawn.groupBy("plan_name").agg(F.sum("tokens")).select("sum(tokens)").collect()]
+    assert all(abs(n - 630) <= 40 for n in sums)
+    # more than the largest can give: those stand at the most, the rest makes up for them
+    many = spark.createDataFrame([("p", "a", 0.9, 3)], "plan_name string, source string, target_share double, max_repeats int")
+    got = {r.tokens: r.c for r in M.mix(docs, M.allocate(docs, many, total=6000.0), power=1.0).groupBy("tokens").agg(F.avg("copies").alias("c")).collect()}
+    assert got[80] == 3 and 1.2 < got[20] < 1.7
+    r = M.shares(docs, many.withColumn("target_share", F.lit(9.0)), power=1.0).first()
+    assert r.short and r.reached_tokens == 3 * r.available and r.actual_share == 1.0
+
+
+def test_actual_shares_are_of_the_mix(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(100)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("p", "a", 0.5, 1), ("p", "none", 0.5, 1)], "plan_name string, source string, target_share double, max_repeats int")
+    got = {r.source: (r.reached_share, r.actual_share) for r in M.shares(docs, targets).collect()}
+    assert got == {"a": (0.5, 1.0), "none": (0.0, 0.0)}
+
+
+def test_sizes_compete(spark):
+    assert {c for c in P.pack_jointly([380] * 40 + [2000] * 9 + [8000], CAPACITIES)[1]} == {384, 2048, 8192}
+    assert P.pack_jointly([100] * 20, [128, 2048])[1] == [2048]  # one filled well is cheaper than twenty with room left
+    assert P.pack_jointly([128] * 16, [128, 2048])[1] == [128] * 16
+    assert P.pack_jointly([], CAPACITIES) == ([], [])
+    with pytest.raises(ValueError):
+        P.pack_jointly([9], [8])
+    many = list(range(100, 1100, 100))
+    place, caps = P.pack_jointly([90, 450, 1000, 1000, 30], many)
+    assert len(place) == 5 and set(caps) <= set(many)
+    names = spark.createDataFrame([("b", 10), ("a", 10), ("c", 20)], "container_name string, capacity_tokens int")
+    assert P.named_capacities(names) == {10: "a, b", 20: "c"}
+
+
 def test_empty_tables(spark):
     df, _ = sizes(spark, 20)
     targets = spark.createDataFrame([("p", "a", 0.5, 9)], "plan_name string, source string, target_share double, max_repeats int")

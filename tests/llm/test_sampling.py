@@ -70,3 +70,16 @@ def test_growth_and_empty_tables(spark, tables):
     assert grown[-1].seen_count == 901 and grown[-1].sample_size == 1 + 9 * 13
     assert sampling.threshold_sample(rows.limit(0), indexes).count() == 0
     assert sampling.threshold_sample(rows, indexes.limit(0)).count() == 0
+
+
+def test_published_totals_beside_those_counted(spark, tables):
+    commits = spark.createDataFrame(
+        [(IDS[0].upper(), 0, None, 101, 5, "x"), (IDS[0], 0, None, 100, 99, "x"), (IDS[0], 1, None, None, 7, "x"), (IDS[0], None, None, 1, 1, "x"), ("unknown", 1, None, 1, 1, "x"), (IDS[1], 99, None, 3, 3, "x")],
+        "index_id string, generation int, committed_at timestamp, seen_count long, sample_size long, _c string",
+    )
+    got = {(r.index_id, r.generation): r for r in sampling.growth_and_commits(*tables, commits).collect()}
+    assert set(got) == {(IDS[0], 0), (IDS[0], 1), (IDS[1], 99)}
+    assert got[IDS[0], 0].seen_agrees and got[IDS[0], 0].seen_count == 101 and got[IDS[0], 0].batch_size == 14
+    assert not got[IDS[0], 1].seen_agrees and got[IDS[0], 1].published_seen is None and got[IDS[0], 1].seen_count == 201
+    assert got[IDS[1], 99].seen_count is None and not got[IDS[1], 99].seen_agrees
+    assert sampling.growth_and_commits(*tables, commits.limit(0)).count() == 0
