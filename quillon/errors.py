@@ -57,6 +57,14 @@ class Unsupported(IndexFault):
     """A stored version that this code does not know."""
 
 
+class Busy(IndexFault):
+    """Another builder is publishing just now."""
+
+
+class Conflict(IndexFault):
+    """Another builder has published since this one began; begin again from what is there now."""
+
+
 class CommitOutcomeUnknown(IndexFault):
     """The pointer may or may not have been moved to ``generation``."""
 

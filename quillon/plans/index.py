@@ -1,10 +1,15 @@
 """A persistent index: immutable segments in Parquet, manifests that form a chain, and one pointer.
 
     CURRENT                   generation and hash of its manifest
+    LOCK                      held by the one builder that is publishing
+    staging-<commit>          marks rows that a builder has written and not yet published
     manifest-<generation>     all segments of that generation, and the hash of the manifest before
     model-<identity>          the frozen model
     segments/<commit>         Parquet of one commit, partitioned by segment, sorted by row
 
+Several builders may stage rows at once. Publishing is one at a time under LOCK, and only on top of the generation
+that a builder began with: the first wins, another is refused with Conflict and begins again.
+
 Readers take the files from the manifest, never from a listing, so what was not committed is invisible, and a
 reader keeps its generation while others are added.
 """
@@ -14,14 +19,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.common import cut, fresh
-from quillon.errors import AlreadyExists, CommitOutcomeUnknown, Corrupt, EmptyCommit, IdentityMismatch, IndexFault, InvalidVector, NotFound, RowLimit, SegmentLimit
+from quillon.errors import AlreadyExists, CommitOutcomeUnknown, Conflict, Corrupt, EmptyCommit, IdentityMismatch, IndexFault, InvalidVector, NotFound, RowLimit, SegmentLimit
 from quillon.functions.bounds import check_terms
 from quillon.functions.codec import Model
 from quillon.functions.vectors import fault
@@ -67,8 +72,16 @@ class CommitReport:
     cleanup_complete: bool
 
 
+#: Seconds after which rows that were staged and never published are garbage.
+STAGED = 7 * 24 * 3600
+
+
 def _load(files: Files) -> tuple[int, dict, str]:
-    current = unpack_container("current", files.read("CURRENT"))
+    try:
+        text = files.read("CURRENT")
+    except NotFound:
+        text = files.read("CURRENT.old")  # a crash between two renames, see Files.replace
+    current = unpack_container("current", text)
     return current["generation"], *_manifest(files, current["generation"], current["manifest"])
 
 
@@ -86,13 +99,13 @@ def _manifest(files: Files, generation: int, digest: str | None) -> tuple[dict,
 
 def _digest():
     """Order-free content hash of rows, by segment."""
-    h = F.xxhash64("row_id", "code", "residual", "mag_bits")
+    h = F.xxhash64("row_id", "code", "residual", "mag_bits", "err_primary", "err_refined", "outside")
     return [F.sum(F.pmod(h, F.lit(1 << 40))).alias("low"), F.sum(F.shiftrightunsigned(h, 40)).alias("high"), F.min("row_id").alias("first_row"), F.count("*").alias("row_count")]
 
 
 def _rows_of(spark: SparkSession, files: Files, commits: list[str]) -> DataFrame:
-    frames = [spark.read.schema(search.ENCODED).parquet(files.at(f"segments/{c}")) for c in commits]
-    return reduce(DataFrame.unionByName, frames)
+    """One scan over the files of all commits."""
+    return spark.read.schema(search.ENCODED).parquet(*(files.at(f"segments/{c}") for c in commits))
 
 
 class IndexBuilder:
@@ -106,7 +119,7 @@ class IndexBuilder:
     def create(cls, spark: SparkSession, path: str, training: DataFrame, seed: int = 0, validation_rows: int | None = None, spec: CodecSpec = SPEC_768, order: str = "row_id", segment_rows: int = SEGMENT_ROWS, files: Files | None = None) -> IndexBuilder:
         """An empty index with a model trained on ``order, v``; training rows are not searchable unless pushed."""
         files = files or Files(spark, path)
-        if files.exists("CURRENT"):
+        if files.exists("CURRENT") or files.exists("CURRENT.old"):
             raise AlreadyExists(path)
         refuse_invalid(training, order, spec.dim)
         model = train(training_matrix(training, order, spec), spec, seed, validation_rows, spark)
@@ -139,6 +152,7 @@ class IndexBuilder:
         refuse_invalid(numbered.withColumn("_at", F.col("row_id") - first), "_at", self.model.spec.dim)
         if added:
             commit = uuid.uuid4().hex
+            self.files.create(f"staging-{commit}", self.index_id)
             try:
                 encoded = search.encode_rows(numbered, self.model, self.segment_rows)
                 # ids are in order already: the sort only fixes the files' row groups for look-ups by row
@@ -169,14 +183,58 @@ class IndexBuilder:
         ]
         if offset + len(segments) > MAX_SEGMENTS:
             raise SegmentLimit(str(offset + len(segments)))
-        generation = before["generation"] + 1 if before else 1
-        manifest = {
-            "index_id": self.index_id, "generation": generation, "previous": self._digest, "model": self.model.identity, "segment_rows": self.segment_rows,
-            "total_rows": self.first_row + self._pushed, "segments": (before["segments"] if before else []) + segments,
-            "commits": (before["commits"] if before else []) + self._staged, "epoch": epoch if epoch is not None else (before or {}).get("epoch"),
-        }
+        manifest = self._next(
+            total_rows=self.first_row + self._pushed, segments=(before["segments"] if before else []) + segments,
+            commits=(before["commits"] if before else []) + self._staged, epoch=epoch if epoch is not None else (before or {}).get("epoch"),
+        )
+        added, first = self._pushed, self.first_row
+        clean = self._publish(manifest)
+        said = drift.report(staged, self.model.baseline)
+        self._pushed, self._staged = 0, []
+        return CommitReport(manifest["generation"], first, added, said, clean)
+
+    def compact(self, files_wanted: int) -> CommitReport:
+        """The rows of all commits in one commit of so many files, as a generation of its own. Former generations
+        keep their files. Many small commits, as a stream makes them, are then one scan of few files."""
+        if self._pushed or not self._base:
+            raise EmptyCommit("publish what was pushed first")
+        commit = uuid.uuid4().hex
+        self.files.create(f"staging-{commit}", self.index_id)
+        rows = _rows_of(self.spark, self.files, self._base["commits"])
+        rows.repartitionByRange(files_wanted, "row_id").sortWithinPartitions("row_id").write.parquet(self.files.at(f"segments/{commit}"))
+        self._staged = [commit]
+        manifest = self._next(total_rows=self._base["total_rows"], segments=self._base["segments"], commits=[commit], epoch=self._base.get("epoch"))
+        clean = self._publish(manifest)
+        self._staged = []
+        return CommitReport(manifest["generation"], self.first_row, 0, {}, clean)
+
+    def discard(self) -> None:
+        """Remove what was staged and not published."""
+        for commit in self._staged:
+            self.files.remove(f"segments/{commit}")
+            self.files.remove(f"staging-{commit}")
+        self._pushed, self._staged = 0, []
+
+    def _next(self, **parts) -> dict:
+        generation = self._base["generation"] + 1 if self._base else 1
+        manifest = {"index_id": self.index_id, "generation": generation, "previous": self._digest, "model": self.model.identity, "segment_rows": self.segment_rows} | parts
         check_segments(manifest["segments"], manifest["total_rows"])
-        text = pack_container("manifest", manifest)
+        return manifest
+
+    def _publish(self, manifest: dict) -> bool:
+        """Under the lock: refuse if another has published, then manifest, pointer and garbage."""
+        owner = uuid.uuid4().hex
+        self.files.lock(owner)
+        try:
+            there = _load(self.files)[2] if self.files.exists("CURRENT") or self.files.exists("CURRENT.old") else None
+            if there != self._digest:
+                raise Conflict(f"generation {manifest['generation']} is published already")
+            return self._move(manifest)
+        finally:
+            self.files.unlock(owner)
+
+    def _move(self, manifest: dict) -> bool:
+        files, generation, text = self.files, manifest["generation"], pack_container("manifest", manifest)
         files.write(f"manifest-{generation}", text)
         files.write("CURRENT.tmp", pack_container("current", {"generation": generation, "manifest": hashlib.sha256(text.encode()).hexdigest()}))
         try:
@@ -188,23 +246,40 @@ class IndexBuilder:
                 raise CommitOutcomeUnknown(generation) from e
             if not published:
                 raise
+        self._base, self._digest = manifest, hashlib.sha256(text.encode()).hexdigest()
         try:
-            collect_garbage(files)
-            clean = True
+            for commit in self._staged:
+                files.remove(f"staging-{commit}")
+            _sweep(files)
         except Exception:
-            clean = False
-        added, first = self._pushed, self.first_row
-        said = drift.report(staged, self.model.baseline)
-        self._base, self._digest, self._pushed, self._staged = manifest, hashlib.sha256(text.encode()).hexdigest(), 0, []
-        return CommitReport(generation, first, added, said, clean)
+            return False
+        return True
 
 
 def collect_garbage(files: Files) -> list[str]:
-    """Remove files of this format that no manifest of the chain names; anything else is left alone."""
+    """Remove files of this format that no manifest of the chain names; anything else is left alone, and so is what a
+    builder has staged within STAGED seconds. No builder publishes meanwhile."""
+    owner = uuid.uuid4().hex
+    files.lock(owner)
+    try:
+        return _sweep(files)
+    finally:
+        files.unlock(owner)
+
+
+def _sweep(files: Files) -> list[str]:
     generation, manifest, _ = _load(files)
     kept = {f"manifest-{g}" for g in range(1, generation + 1)} | {f"model-{manifest['model']}", "CURRENT"}
-    gone = [n for n in files.names() if n not in kept and (n.startswith(("manifest-", "model-")) or n == "CURRENT.tmp")]
-    gone += [f"segments/{n}" for n in files.names("segments") if n not in manifest["commits"] and len(n) == 32 and set(n) <= set("0123456789abcdef")]
+    names = files.names()
+    gone = [n for n in names if n not in kept and (n.startswith(("manifest-", "model-")) or n in ("CURRENT.tmp", "CURRENT.old"))]
+    marks = {n.removeprefix("staging-"): files.age(n) for n in names if n.startswith("staging-")}
+    commits, at = set(manifest["commits"]), manifest
+    while at["generation"] > 1:
+        at = _manifest(files, at["generation"] - 1, at["previous"])[0]
+        commits |= set(at["commits"])
+    held = commits | {c for c, age in marks.items() if age < STAGED}
+    gone += [f"segments/{n}" for n in files.names("segments") if n not in held and len(n) == 32 and set(n) <= set("0123456789abcdef")]
+    gone += [f"staging-{c}" for c in marks if c not in held]
     for name in gone:
         files.remove(name)
     return gone

@@ -6,25 +6,30 @@ import base64
 import hashlib
 import io
 import json
+import os
+import time
 
 import numpy as np
 from pyspark.sql import SparkSession
 
-from quillon.errors import Corrupt, IdentityMismatch, NotFound, Unsupported
+from quillon.errors import AlreadyExists, Busy, Corrupt, IdentityMismatch, NotFound, Unsupported
 from quillon.functions.codec import Model, Rotation
 from quillon.spec import MAX_SEGMENTS, CodecSpec
 
 VERSION = 1
+#: Seconds after which a lock is taken to be left over from a builder that died.
+LEASE = 600
 
 
 class Files:
     """The few operations that a commit consists of; tests replace them to let one fail."""
 
     def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
+        self._jvm = jvm = spark.sparkContext._jvm
+        self._gateway, self._conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
         self.root = root.rstrip("/")
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path(self.root).getFileSystem(self._conf)
         self._io = jvm.org.apache.hadoop.io.IOUtils
         self._buffer = jvm.java.io.ByteArrayOutputStream
 
@@ -49,18 +54,77 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, source: str, target: str) -> None:
-        """Move a file over another. Where the file system cannot do so in one step the old one is set aside first."""
-        a, b = self._path(self.at(source)), self._path(self.at(target))
+    def create(self, name: str, text: str) -> None:
+        """Write a file that must not be there yet."""
         if self._fs.getScheme() == "file":
-            import os
+            path = self.at(name).removeprefix("file:")
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            try:
+                with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    f.write(text)
+            except FileExistsError as e:
+                raise AlreadyExists(self.at(name)) from e
+            return
+        try:
+            stream = self._fs.create(self._path(self.at(name)), False)
+        except Exception as e:
+            if self.exists(name):
+                raise AlreadyExists(self.at(name)) from e
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
 
+    def replace(self, source: str, target: str) -> None:
+        """Move a file over another in one step. A file system that cannot do so keeps the old one beside it, as
+        ``<target>.old``, until the new one is in place; readers fall back to that."""
+        if self._fs.getScheme() == "file":
             os.replace(self.at(source).removeprefix("file:"), self.at(target).removeprefix("file:"))
-            return
+        elif not self._rename_over(source, target):
+            self._rename_aside(source, target)
+
+    def _rename_over(self, source: str, target: str) -> bool:
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        a, b = self._path(self.at(source)), self._path(self.at(target))
+        try:
+            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        except Exception:  # no such interface to this file system
+            return False
+        context.rename(a, b, over)
+        return True
+
+    def _rename_aside(self, source: str, target: str) -> None:
+        a, b, aside = (self._path(self.at(n)) for n in (source, target, f"{target}.old"))
         if self._fs.exists(b):
-            self._fs.delete(b, False)
+            self._fs.delete(aside, False)
+            if not self._fs.rename(b, aside):
+                raise OSError(f"cannot set {target} aside")
         if not self._fs.rename(a, b):
             raise OSError(f"cannot move {source} to {target}")
+        self._fs.delete(aside, False)
+
+    def age(self, name: str) -> float:
+        """Seconds since a file was last written; by the clock of this machine."""
+        return time.time() - self._fs.getFileStatus(self._path(self.at(name))).getModificationTime() / 1000
+
+    def lock(self, owner: str) -> None:
+        """Take the one lock for publishing. A lock older than LEASE is broken: its builder has died."""
+        for last in (False, True):
+            try:
+                return self.create("LOCK", owner)
+            except AlreadyExists as e:
+                if last or self.age("LOCK") < LEASE:
+                    raise Busy(self.root) from e
+                self._fs.delete(self._path(self.at("LOCK")), False)
+
+    def unlock(self, owner: str) -> None:
+        """Give the lock back, unless another has taken it over."""
+        try:
+            if self.exists("LOCK") and self.read("LOCK") == owner:
+                self._fs.delete(self._path(self.at("LOCK")), False)
+        except Exception:  # it expires by itself
+            pass
 
     def names(self, folder: str = "") -> list[str]:
         path = self._path(self.at(folder) if folder else self.root)

@@ -16,12 +16,16 @@ from quillon.spec import LEAST_TRAINING, MAX_TRAINING, CodecSpec, default_valida
 
 
 def train(x: np.ndarray, spec: CodecSpec, seed: int, validation: int | None = None, spark: SparkSession | None = None) -> Model:
-    """A model from at most MAX_TRAINING valid rows. With ``spark`` each sub-quantiser is a task of its own."""
+    """A model from at most MAX_TRAINING valid rows. With ``spark`` each sub-quantiser is a task of its own.
+
+    The model's ``baseline`` holds the errors of the validation rows and how much work the sub-quantisers took
+    (``training_iterations, training_moves, training_reseeds``, over all of them)."""
     validation = default_validation(len(x)) if validation is None else validation
     rotation, centers, residuals, held = codec.train_tables(x, spec, seed, validation)
     sub = spec.sub
     if spark is None:
-        books = [codec.kmeans(residuals[:, s * sub : (s + 1) * sub], spec.centroids, [seed, s])[0] for s in range(spec.subs)]
+        books, said = zip(*(codec.kmeans(residuals[:, s * sub : (s + 1) * sub], spec.centroids, [seed, s]) for s in range(spec.subs)))
+        work = {k: sum(x[k] for x in said) for k in ("iterations", "moves", "reseeds")}
     else:
         shared = spark.sparkContext.broadcast(residuals)  # at most MAX_TRAINING rows
 
@@ -33,11 +37,12 @@ def train(x: np.ndarray, spec: CodecSpec, seed: int, validation: int | None = No
 
         made = spark.range(0, spec.subs, 1, spec.subs).mapInPandas(run, "sub long, book binary, iterations int, moves int, reseeds int").toPandas().sort_values("sub")
         books = [np.frombuffer(b, np.float32).reshape(-1, sub) for b in made.book]
+        work = {k: int(made[k].sum()) for k in ("iterations", "moves", "reseeds")}
     model = Model(spec, rotation, centers, np.stack(books), {})
     codes, res, p, e = codec.encode(held, model)
     primary, refined, outside = codec.errors(held, p, e, centers)
     rank = lambda v, q: float(np.sort(v)[max(0, -(-len(v) * q // 100) - 1)])
-    baseline = {f"{n}_p{q}": rank(v, q) for n, v in (("primary", primary), ("refined", refined)) for q in (50, 95, 99)} | {"outside": float(outside.mean())}
+    baseline = {f"{n}_p{q}": rank(v, q) for n, v in (("primary", primary), ("refined", refined)) for q in (50, 95, 99)} | {"outside": float(outside.mean())} | {f"training_{k}": int(v) for k, v in work.items()}
     return Model(spec, rotation, centers, np.stack(books), baseline)
 
 

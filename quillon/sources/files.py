@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,41 +56,31 @@ def descriptor(path: str, check: bool = True) -> dict:
     return d
 
 
-MAGIC = b"QLORAC01"
-
-
-def write_oracle(path: str, rows: int, lists: dict[int, list[tuple[int, float]]], k: int) -> None:
-    """Exact lists of queries 0, 1, ... as one binary file: header, then per query a count and (row, score) pairs."""
-    with open(path, "wb") as f:
-        f.write(MAGIC + struct.pack("<QII", rows, len(lists), k))
-        for q in range(len(lists)):
-            f.write(struct.pack("<I", len(lists[q])))
-            for row, score in lists[q]:
-                f.write(struct.pack("<Qd", row, score))
-
-
-def read_oracle(path: str) -> tuple[int, int, dict[int, list[tuple[int, float]]]]:
-    """Rows, k and lists of such a file; refused unless whole, ranked, and within the rows."""
-    with open(path, "rb") as f:
-        data = f.read()
-    try:
-        if data[:8] != MAGIC:
-            raise Corrupt("not an oracle file")
-        rows, queries, k = struct.unpack_from("<QII", data, 8)
-        at, lists = 24, {}
-        for q in range(queries):
-            (n,) = struct.unpack_from("<I", data, at)
-            lists[q] = [struct.unpack_from("<Qd", data, at + 4 + 16 * i) for i in range(n)]
-            at += 4 + 16 * n
-            if n != min(k, rows) or len({r for r, _ in lists[q]}) != n or any(r >= rows for r, _ in lists[q]):
-                raise Corrupt(f"list {q} is not {min(k, rows)} distinct rows")
-            if lists[q] != sorted(lists[q], key=lambda x: (-x[1], x[0])):
-                raise Corrupt(f"list {q} is not ranked")
-    except struct.error as e:
-        raise Corrupt("cut off") from e
-    if at != len(data):
-        raise Corrupt("more than the header says")
-    return rows, k, lists
+def write_lists(lists: DataFrame, path: str, rows: int, k: int) -> None:
+    """Exact lists ``query_id, rank, row_id, score`` as Parquet, with a header that says of how many rows they are the
+    best ``k`` and how many of them there are."""
+    lists.select("query_id", F.col("rank").cast("int"), "row_id", "score").write.parquet(f"{path}/lists")
+    spark = lists.sparkSession
+    count = spark.read.parquet(f"{path}/lists").count()
+    spark.createDataFrame([(rows, k, count)], "rows long, k int, hits long").coalesce(1).write.json(f"{path}/header")
+
+
+def read_lists(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
+    """Such lists, the number of rows and k; refused unless whole, ranked, of distinct rows and within the rows."""
+    header = spark.read.schema("rows long, k int, hits long").json(f"{path}/header").collect()
+    if len(header) != 1 or None in header[0]:
+        raise Corrupt(f"no header in {path}")
+    rows, k, hits = header[0]
+    lists = spark.read.schema("query_id long, rank int, row_id long, score double").parquet(f"{path}/lists")
+    before = Window.partitionBy("query_id").orderBy("rank")
+    last, row = F.lag("score").over(before), F.lag("row_id").over(before)
+    wrong = F.col("query_id").isNull() | F.col("row_id").isNull() | F.isnan("score") | F.col("score").isNull() | (F.col("row_id") < 0) | (F.col("row_id") >= rows)
+    out_of_order = (F.col("rank") != F.row_number().over(before)) | (F.col("score") > last) | ((F.col("score") == last) & (F.col("row_id") <= row))
+    each = lists.withColumn("_bad", wrong | F.coalesce(out_of_order, F.lit(False))).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("d"), F.bool_or("_bad").alias("bad"))
+    said = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bool_or(F.col("bad") | (F.col("d") != F.col("n")) | (F.col("n") != min(k, rows))), F.lit(False)).alias("bad")).first()
+    if said["bad"] or said["n"] != hits:
+        raise Corrupt(f"the lists in {path} are not whole and ranked")
+    return lists, rows, k
 
 
 def validate(value, schema: dict, where: str = "$") -> None:

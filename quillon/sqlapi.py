@@ -36,5 +36,10 @@ def register(spark: SparkSession, model: Model) -> None:
 
 
 def register_index(spark: SparkSession, name: str, path: str, queries: str, k: int = 10, metric: str = "cosine") -> None:
-    """A view ``name`` of the hits of the table ``queries`` (``query_id, v``) in an index."""
+    """A view ``name`` of the hits of the table ``queries`` (``query_id, v``) in an index, and a table function
+    ``name_of(query_id, most)`` of the best of one query's hits."""
     Index.open(spark, path).search(spark.table(queries), k, metric=metric).createOrReplaceTempView(name)
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_of(q BIGINT, most INT) RETURNS TABLE (row_id BIGINT, rank INT, score DOUBLE, lower DOUBLE, upper DOUBLE) "
+        f"RETURN SELECT h.row_id, h.rank, h.score, h.lower, h.upper FROM {name} h WHERE h.query_id = q AND h.rank <= most"
+    )

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.errors import AlreadyExists, CommitOutcomeUnknown, Corrupt, EmptyCommit, IdentityMismatch, InvalidTraining, InvalidVector, NotFound
+from quillon.errors import AlreadyExists, Busy, CommitOutcomeUnknown, Conflict, Corrupt, EmptyCommit, IdentityMismatch, InvalidTraining, InvalidVector, NotFound
 from quillon.plans import store
 from quillon.plans.index import Index, IndexBuilder, collect_garbage, dense_ids
 from quillon.plans.store import Files, check_segments, pack_container, unpack_container
@@ -167,6 +167,73 @@ def test_garbage_collection_leaves_strangers_alone(spark, corpus, create, tmp_pa
     assert len(Index.open(spark, str(tmp_path / "ix"))) == 5
 
 
+def test_of_two_builders_the_first_wins_and_nothing_is_lost(spark, corpus, create, tmp_path):
+    path = str(tmp_path / "ix")
+    builder = create()
+    builder.push(frame(spark, corpus[:50]), "row_id")
+    builder.commit()
+    one, two = IndexBuilder.append(spark, path), IndexBuilder.append(spark, path)
+    one.push(frame(spark, corpus[50:60], 50), "row_id")
+    two.push(frame(spark, corpus[60:75], 50), "row_id")
+    one.commit()  # its clean-up leaves what the other has staged
+    assert all(f"segments/{c}" for c in two._staged) and set(two._staged) <= set(Files(spark, path).names("segments"))
+    with pytest.raises(Conflict):
+        two.commit()
+    assert len(Index.open(spark, path)) == 60
+    two.discard()
+    again = IndexBuilder.append(spark, path)
+    again.push(frame(spark, corpus[60:75], 60), "row_id")
+    assert again.commit().generation == 3 and len(Index.open(spark, path)) == 75
+    assert not [n for n in Files(spark, path).names() if n.startswith(("staging-", "LOCK", "CURRENT."))]
+
+
+def test_a_lock_is_respected_until_it_expires(spark, corpus, create, tmp_path, monkeypatch):
+    builder = create()
+    builder.push(frame(spark, corpus[:5]), "row_id")
+    files = Files(spark, str(tmp_path / "ix"))
+    files.lock("other")
+    with pytest.raises(Busy):
+        builder.commit()
+    files.unlock("mine")
+    assert files.exists("LOCK")
+    monkeypatch.setattr(store, "LEASE", -1)
+    assert builder.commit().generation == 1 and not files.exists("LOCK")
+
+
+def test_a_crash_between_renames_leaves_the_old_generation(spark, corpus, create, tmp_path):
+    builder = create()
+    builder.push(frame(spark, corpus[:5]), "row_id")
+    builder.commit()
+    path, files = tmp_path / "ix", Files(spark, str(tmp_path / "ix"))
+    (path / "CURRENT").rename(path / "CURRENT.old")
+    assert Index.open(spark, str(path)).generation == 1
+    builder.push(frame(spark, corpus[5:9], 5), "row_id")
+    assert builder.commit().generation == 2 and "CURRENT.old" not in files.names()
+    for move in (files._rename_over, files._rename_aside):
+        files.write("a", "new")
+        files.write("b", "old")
+        assert move("a", "b") in (True, None) and files.read("b") == "new" and not files.exists("a") and not files.exists("b.old")
+
+
+def test_compaction_keeps_rows_segments_and_former_generations(spark, corpus, create, tmp_path):
+    path, builder = str(tmp_path / "ix"), create()
+    for a in range(0, 40, 10):
+        builder.push(frame(spark, corpus[a : a + 10], a), "row_id")
+        builder.commit()
+    before = sorted(tuple(r) for r in Index.open(spark, path).rows.collect())
+    assert builder.compact(1).generation == 5
+    index = Index.open(spark, path)
+    assert sorted(tuple(r) for r in index.rows.collect()) == before and len(index.manifest["commits"]) == 1 and len(index.rows.inputFiles()) == 1
+    assert len(Index.open(spark, path, 2)) == 20
+    builder.push(frame(spark, corpus[40:45], 40), "row_id")
+    assert builder.commit().generation == 6 and len(Index.open(spark, path)) == 45
+
+
+def test_the_training_work_is_kept_with_the_model(spark, create, tmp_path):
+    builder = create()
+    assert builder.model.baseline["training_iterations"] >= builder.model.spec.subs and builder.model.baseline["training_moves"] > 0
+
+
 def test_spoilt_files_are_refused(spark, corpus, create, tmp_path):
     builder = create()
     builder.push(frame(spark, corpus[:150]), "row_id")

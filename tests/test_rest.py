@@ -44,19 +44,25 @@ def test_generated_corpora_grow_without_changing(spark):
     assert len(large) == 30 and all(large[k] == v for k, v in small.items())
 
 
-def test_oracle_files_refuse_every_cut(tmp_path):
-    path = tmp_path / "o.bin"
-    lists = {0: [(3, 0.5), (1, 0.25)], 1: [(0, 1.0), (2, 1.0)]}
-    files.write_oracle(str(path), 4, lists, 2)
-    assert files.read_oracle(str(path)) == (4, 2, lists)
-    whole = path.read_bytes()
-    for n in range(len(whole)):
-        path.write_bytes(whole[:n])
+def test_stored_lists_are_refused_unless_whole_and_ranked(spark, tmp_path):
+    good = [(0, 1, 3, 0.5), (0, 2, 1, 0.25), (1, 1, 0, 1.0), (1, 2, 2, 1.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "query_id long, rank int, row_id long, score double")
+    files.write_lists(frame(good), str(tmp_path / "good"), 4, 2)
+    lists, rows, k = files.read_lists(spark, str(tmp_path / "good"))
+    assert (sorted(tuple(r) for r in lists.collect()), rows, k) == (good, 4, 2)
+    bad = {
+        "cut": good[:3], "twice": [*good[:3], (1, 2, 0, 1.0)], "order": [(0, 1, 3, 0.25), (0, 2, 1, 0.5), *good[2:]], "tie": [*good[:2], (1, 1, 2, 1.0), (1, 2, 0, 1.0)],
+        "row": [*good[:3], (1, 2, 4, 1.0)], "rank": [*good[:3], (1, 3, 2, 1.0)], "nan": [*good[:3], (1, 2, 2, float("nan"))],
+    }
+    for name, rows in bad.items():
+        files.write_lists(frame(rows), str(tmp_path / name), 4, 2)
         with pytest.raises(Corrupt):
-            files.read_oracle(str(path))
-    files.write_oracle(str(path), 4, {0: [(1, 0.25), (3, 0.5)]}, 2)
+            files.read_lists(spark, str(tmp_path / name))
+    files.write_lists(frame([]), str(tmp_path / "none"), 0, 2)
+    assert files.read_lists(spark, str(tmp_path / "none"))[0].count() == 0
+    frame(good[:2]).write.mode("overwrite").parquet(str(tmp_path / "good" / "lists"))
     with pytest.raises(Corrupt):
-        files.read_oracle(str(path))
+        files.read_lists(spark, str(tmp_path / "good"))
 
 
 def test_reports_keep_to_their_schema(tmp_path):
