@@ -55,6 +55,21 @@ def eta_serving(spec: CodecSpec, refined: bool) -> float:
     return entries * (0.5 / ONE + 2.0**-48) * (1 + SLACK)
 
 
+def query_errors(y: np.ndarray, centers: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per rotated query: how far its integer primary and refined scores, over 2^24, can be from the sums of products
+    they stand for. Half a unit per table entry, and what double precision adds to that many terms of at most the
+    largest size that this query's tables hold."""
+    x = np.abs(y.astype(np.float64))
+    dim, (subs, _, sub) = y.shape[1], codebook.shape
+    primary = dim * (x * np.abs(centers.astype(np.float64)).max(1)).max(1)
+    parts = np.zeros((len(y), subs, codebook.shape[1]))
+    for lane in range(sub):
+        parts += x.reshape(len(y), subs, sub)[:, :, lane, None] * np.abs(codebook[:, :, lane].astype(np.float64))[None]
+    residual = subs * parts.max((1, 2))
+    gap = lambda size, terms, entries: (size * gamma(terms, 2.0**-53) + entries * 0.5 / ONE) * (1 + SLACK)
+    return gap(primary, dim + 2, dim), gap(primary + residual, 2 * dim + subs + 2, dim + subs)
+
+
 def epsilon(spec: CodecSpec, reconstruction_error: float, refined: bool) -> float:
     return (eta_transform(spec) + query_norm_upper(spec) * reconstruction_error * (1 + SLACK) + eta_serving(spec, refined)) * (1 + SLACK)
 

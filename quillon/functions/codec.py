@@ -252,6 +252,14 @@ def scan(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def float_score(y: np.ndarray, codes: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The primary score of each pair of a rotated query and a code in single precision, summed in coordinate order."""
+    total = np.zeros(len(y), np.float32)
+    for c in range(y.shape[1]):
+        total += y[:, c].astype(np.float32) * centers[c].take(codes[:, c])
+    return total
+
+
 def refine(primary: np.ndarray, res: np.ndarray, table: np.ndarray) -> np.ndarray:
     total = primary.copy()
     for s in range(len(table)):

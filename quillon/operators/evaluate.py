@@ -102,6 +102,21 @@ def stored_alignment(candidates: DataFrame, truth: DataFrame, k: int) -> DataFra
     return true_k.join(placed, ["query_id", "row_id"], "left").groupBy("query_id").agg(*(F.coalesce(F.sum(f"by_{n}"), F.lit(0).cast("long")).alias(f"by_{n}") for n in kinds))
 
 
+#: The kinds of rank in a loss trace.
+TRACE = ("by_primary", "by_refined", "by_corrected", "by_stored", "by_exact")
+
+
+def loss_trace(candidates: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """Per true neighbour: ``query_id, row_id, true_rank`` and its rank among the candidates by primary, refined and
+    corrected score, by the refined score over the length as it is stored in half precision, and by exact score; nulls
+    where it was not selected. A missing score ranks last."""
+    length = F.when(is_number(F.col("recon_length")) & (F.col("recon_length") > 0), F.col("recon_length"))
+    keys = dict(zip(TRACE, (F.col("primary_raw"), F.col("refined_raw"), F.col("corrected"), F.col("refined_raw") / F.coalesce(as_half(length), F.lit(1.0)), F.col("truth_score"))))
+    order = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(c.desc_nulls_last(), "row_id"))
+    placed = candidates.select("query_id", "row_id", *(order(c).alias(n) for n, c in keys.items()))
+    return truth.where(F.col("rank") <= k).select("query_id", "row_id", F.col("rank").alias("true_rank")).join(placed, ["query_id", "row_id"], "left")
+
+
 def block_check(encoded: DataFrame) -> DataFrame:
     """Per segment: rows, distinct row ids, and whether they are all those from the first to the last."""
     return (
@@ -159,14 +174,22 @@ def relevance(found: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return relevant.select("query_id").distinct().join(first, "query_id", "left").select("query_id", "first", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal"), F.col("first").isNotNull().cast("long").alias("hit"))
 
 
-def bootstrap(deltas: np.ndarray, spark: SparkSession, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """Mean and its 2.5 and 97.5 percentiles over resamples of per-query differences, of which there are a few thousand."""
-    shared = spark.sparkContext.broadcast(np.asarray(deltas, np.float64))
+def bootstrap(deltas: np.ndarray, spark: SparkSession, resamples: int = 10_000, seed: int = 0, counts: np.ndarray | None = None) -> DataFrame:
+    """Mean and its 2.5 and 97.5 percentiles over resamples of per-query differences.
+
+    With ``counts`` the differences are a histogram: a resample draws how often each value comes, so what is sent to
+    the tasks is as large as the number of different values, however many queries there are.
+    """
+    shared = spark.sparkContext.broadcast((np.asarray(deltas, np.float64), None if counts is None else np.asarray(counts, np.int64)))
 
     def run(batches):
+        x, n = shared.value
+
+        def draw(i: int) -> float:
+            rng = np.random.Generator(np.random.PCG64([seed, i]))
+            return x[rng.integers(0, len(x), len(x))].mean() if n is None else float((rng.multinomial(n.sum(), n / n.sum()) * x).sum() / n.sum())
+
         for part in batches:
-            x = shared.value
-            draw = lambda i: x[np.random.Generator(np.random.PCG64([seed, i])).integers(0, len(x), len(x))].mean()
             yield pd.DataFrame({"id": part["id"], "mean": [draw(i) for i in part["id"].tolist()]})
 
     means = spark.range(0, resamples, 1, spark.sparkContext.defaultParallelism).mapInPandas(run, "id long, mean double")

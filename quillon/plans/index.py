@@ -116,13 +116,15 @@ class IndexBuilder:
         self._base, self._digest, self._pushed, self._staged, self._broken = base, digest, 0, [], False
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, training: DataFrame, seed: int = 0, validation_rows: int | None = None, spec: CodecSpec = SPEC_768, order: str = "row_id", segment_rows: int = SEGMENT_ROWS, files: Files | None = None) -> IndexBuilder:
-        """An empty index with a model trained on ``order, v``; training rows are not searchable unless pushed."""
+    def create(cls, spark: SparkSession, path: str, training: DataFrame | None, seed: int = 0, validation_rows: int | None = None, spec: CodecSpec = SPEC_768, order: str = "row_id", segment_rows: int = SEGMENT_ROWS, files: Files | None = None, model: Model | None = None) -> IndexBuilder:
+        """An empty index with a model trained on ``order, v``; training rows are not searchable unless pushed. A
+        ``model`` trained before may be given instead."""
         files = files or Files(spark, path)
         if files.exists("CURRENT") or files.exists("CURRENT.old"):
             raise AlreadyExists(path)
-        refuse_invalid(training, order, spec.dim)
-        model = train(training_matrix(training, order, spec), spec, seed, validation_rows, spark)
+        if model is None:
+            refuse_invalid(training, order, spec.dim)
+            model = train(training_matrix(training, order, spec), spec, seed, validation_rows, spark)
         files.write(f"model-{model.identity}", pack_container("model", model_payload(model)))
         return cls(spark, files, model, None, None, segment_rows, uuid.uuid4().hex)
 

@@ -366,16 +366,16 @@ def bootstrap_recall(spark, d):
     """The difference in recall between ranking by the corrected and by the refined score, resampled over queries."""
     losses = evaluate.loss_attribution(*_lists(spark, d), K)
     hist = losses.groupBy((F.col("delivered") - F.col("by_refined")).alias("delta"), "wanted").agg(F.count("*").alias("n")).toPandas()
-    return evaluate.bootstrap(np.repeat(hist.delta / hist.wanted, hist.n).to_numpy(float), spark)
+    return evaluate.bootstrap((hist.delta / hist.wanted).to_numpy(float), spark, counts=hist.n.to_numpy())
 
 
 def label_relevance(spark, d):
     """First rank, reciprocal rank and hit at 10, neighbours of the query's label being the relevant ones."""
     labels = read(spark, d, "embeddings").select("vec_id", "label")
-    found = exact_cosine_topk(spark, d).join(labels.select(F.col("vec_id").alias("row_id"), F.col("label").alias("row_label")), "row_id")
+    found = exact_cosine_topk(spark, d)
     asked = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    first = found.join(asked, "query_id").where("label = row_label").groupBy("query_id").agg(F.min("rank").alias("first"))
-    return asked.join(first, "query_id", "left").select("query_id", "first", F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal"), F.col("first").isNotNull().cast("long").alias("hit"))
+    relevant = asked.join(labels, "label").select("query_id", F.col("vec_id").alias("row_id"))
+    return evaluate.relevance(found, relevant, K)
 
 
 def uncovered_queries(spark, d):

@@ -6,17 +6,19 @@ import numpy as np
 import pytest
 from helpers import DATA, duckdb_rows, spark_rows
 
+from quillon import qualify
 from quillon import queries as core
 from quillon.operators import evaluate
 
 SF = "sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(f"{DATA}/{SF}"), reason="no test data")
-SQL = core.oracle_sql()
+SQL = core.oracle_sql() | qualify.oracle_sql()
+QUERIES = core.queries() | qualify.queries()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
-    columns, got = spark_rows(core.queries()[name](spark, f"{DATA}/{SF}"))
+    columns, got = spark_rows(QUERIES[name](spark, f"{DATA}/{SF}"))
     assert got == duckdb_rows(SQL[name], SF, columns)
 
 
