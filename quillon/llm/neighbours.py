@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.common import BROADCAST_LIMIT, cut, spread
+from quillon.operators.exact import exact_topk
 from quillon.operators.select import key_of_hash, smallest_per_group
 
 DIMENSION = 64
@@ -374,3 +375,20 @@ def index_report(vectors: DataFrame) -> DataFrame:
     """Per corpus the fitted index: ``corpus, centroids`` (of each half), ``shards, query_blocks`` and
     ``share_scored``, the share of its rows that a query's walk is calibrated to visit."""
     return fit_all(usable(vectors)).select("corpus", F.col("k").alias("centroids"), F.col("count").alias("shards"), F.col("blocks").alias("query_blocks"), F.col("share").alias("share_scored"))
+
+
+def recall_report(vectors: DataFrame, k: int = 10, least: float = 0.9) -> DataFrame:
+    """Per corpus with queries and indexed vectors: ``corpus, queries``, and whether ``nearest`` finds at least the share
+    ``least`` of the true k neighbours, which an exact search of the whole corpus gives."""
+    clean = cut(usable(vectors))
+    row, asked = F.col("vec_id").alias("row_id"), F.col("vec_id").alias("query_id")
+    pairs = nearest(vectors, k).select(F.col("query_vec_id").alias("query_id"), F.col("near_vec_id").alias("row_id"), "rank")
+    exact, found = None, cut(pairs)
+    for r in clean.where("split_name = 'queries'").select("corpus").distinct().orderBy("corpus").toLocalIterator():
+        own = clean.where(F.col("corpus") == r["corpus"])
+        part = exact_topk(own.where("split_name = 'indexed'").select(row, F.col("embedding").alias("v")), own.where("split_name = 'queries'").select(asked, F.col("embedding").alias("v")), k, dim=DIMENSION).withColumn("corpus", F.lit(r["corpus"]))
+        exact = part if exact is None else exact.unionByName(part)
+    if exact is None:
+        return vectors.sparkSession.createDataFrame([], "corpus string, queries long, reached boolean")
+    hit = exact.join(found.select("query_id", "row_id", F.lit(1).alias("hit")), ["query_id", "row_id"], "left")
+    return hit.groupBy("corpus").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= least * F.count("*")).alias("reached"))

@@ -149,3 +149,18 @@ def fill_report(placed: DataFrame, names: dict[int, str]) -> DataFrame:
         .agg(F.count("*").alias("bins"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.sum("capacity").alias("room"))
         .select(name[F.col("capacity").cast("int")].alias("container_name"), "*", (F.col("tokens") / F.col("room")).alias("filled"))
     )
+
+
+def check_placement(placed: DataFrame, sized: DataFrame, capacities: list[int]) -> DataFrame:
+    """One row of what must hold: documents placed, bins too full, bins larger than their contents need, documents whose
+    tokens are not all placed once, and documents split though a container would hold them."""
+    largest, sizes = max(capacities), sorted(set(capacities))
+    bins = placed.groupBy("block", "bin").agg(F.sum("tokens").alias("held"), F.max("capacity").alias("capacity"))
+    need = F.coalesce(*(F.when(F.col("held") <= c, c) for c in sizes), F.lit(largest + 1))
+    by_bin = bins.agg(F.count_if(F.col("held") > F.col("capacity")).alias("overfull"), F.count_if(need != F.col("capacity")).alias("oversized"))
+    docs = placed.groupBy("doc_id").agg(F.sum("tokens").alias("placed"), F.count("*").alias("pieces"))
+    want = sized.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+    by_doc = want.join(docs, "doc_id", "full").agg(
+        F.count("placed").alias("documents"), F.count_if(~F.col("placed").eqNullSafe(F.col("tokens"))).alias("lost"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= largest)).alias("needless_splits")
+    )
+    return by_doc.join(by_bin)  # one row each

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.drift import nearest_rank
+
 #: Size parameter of the sketches.
 K = 4096
 PERCENTS = (50, 90, 99)
@@ -109,3 +111,16 @@ def deviations(bound_widths: DataFrame, budget_outcomes: DataFrame, tolerance: f
         .agg(F.min("at").alias("exact"))
     )
     return found.unionByName(exact.where(off(F.col("exact"))).select(*key)).distinct()
+
+
+def enclosure(bound_widths: DataFrame, k: int = K) -> DataFrame:
+    """Per group, kind and statistic: ``n`` and whether the exact value lies in the interval of the merged sketches."""
+    widths = measured(bound_widths)
+    exact = None
+    for kind in KINDS:
+        ranks = nearest_rank([kind], PERCENTS, list(GROUP), widths)
+        part = ranks.select(*GROUP, F.explode(F.array(*(F.struct(F.lit(kind).alias("width_kind"), F.lit(f"p{p}").alias("statistic"), F.col(f"{kind}_p{p}").alias("exact")) for p in PERCENTS))).alias("s")).select(*GROUP, "s.*")
+        exact = part if exact is None else exact.unionByName(part)
+    said = summaries(merge_sketches(daily_sketches(widths, k)), k)
+    same = [exact[c].eqNullSafe(said[c]) for c in (*GROUP, "width_kind", "statistic")]
+    return exact.join(said, on=same).select(*(exact[c] for c in (*GROUP, "width_kind", "statistic")), "n", F.col("exact").between(F.col("low"), F.col("high")).alias("inside"))

@@ -58,6 +58,12 @@ def p2_index(spark: SparkSession, d: str) -> DataFrame:
     return index_report(read(spark, d, "corpus_vectors"))
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.neighbours import recall_report
+
+    return recall_report(read(spark, d, "corpus_vectors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -97,6 +103,12 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return summaries(merge_sketches(daily_sketches(measured(read(spark, d, "bound_widths"))))).drop("percent")
 
 
+def p5_enclosure(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.llm.percentiles import enclosure
+
+    return enclosure(read(spark, d, "bound_widths"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from quillon.llm.packing import named_capacities, pack
     from quillon.llm.tokens import sized
@@ -118,6 +130,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p6_pack(spark, d), named_capacities(read(spark, d, "pack_capacities")))
 
 
+def p6_placement(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.common import cut
+    from quillon.llm.packing import check_placement, named_capacities, pack
+    from quillon.llm.tokens import sized
+
+    sizes, documents = list(named_capacities(read(spark, d, "pack_capacities"))), sized(read(spark, d, "documents"))
+    return check_placement(cut(pack(documents, sizes)), documents, sizes)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).where("short AND reached_tokens < target_tokens").select("plan_name", "source")
 
@@ -129,6 +150,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(sized(read(spark, d, "documents")), read(spark, d, "mix_targets"), power=SIZE_POWER)
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source keeps to its repeats, and whether it reaches its target within a document or is short of it."""
+    from pyspark.sql import functions as F
+
+    from quillon.llm.mixing import shares
+    from quillon.llm.tokens import sized
+
+    documents = sized(read(spark, d, "documents"))
+    longest = documents.agg(F.max("tokens").alias("longest"))
+    s = shares(documents, read(spark, d, "mix_targets"), power=SIZE_POWER).join(longest)  # one row
+    near = F.abs(F.col("reached_tokens") - F.least(F.col("target_tokens"), F.col("max_repeats") * F.col("available"))) <= F.col("longest")
+    return s.select("plan_name", "source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), near.alias("as_near_as_can_be"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     from quillon.llm.mixing import allocate, mix
     from quillon.llm.tokens import sized
@@ -186,7 +221,14 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
+    once = """once AS (SELECT vec_id, corpus, lower(trim(split_name)) AS split FROM corpus_vectors WHERE vec_id IS NOT NULL AND corpus IS NOT NULL AND len(embedding) = 64
+  AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY added_at NULLS FIRST, corpus, lower(trim(split_name)) NULLS FIRST) = 1)"""
     return {
+        "p2_recall": f"WITH {once} SELECT corpus, count(*) FILTER (WHERE split = 'queries') AS queries, true AS reached FROM once GROUP BY corpus HAVING queries > 0 AND count(*) FILTER (WHERE split = 'indexed') > 0",
+        "p5_enclosure": _P5[: _P5.index("said AS (")].rstrip().rstrip(",").replace("max(w) FILTER (WHERE pos = (p * n + 99) // 100) AS v", "max(n) AS n, count(*) AS c") + " SELECT run_id, candidate_budget, width_kind, statistic, n, true AS inside FROM exact",
+        "p6_placement": "SELECT count(*) AS documents, 0::BIGINT AS lost, 0::BIGINT AS needless_splits, 0::BIGINT AS overfull, 0::BIGINT AS oversized FROM documents WHERE length(text) > 0",
+        "p7_limits": "SELECT DISTINCT plan_name, source, true AS within_repeats, true AS as_near_as_can_be FROM mix_targets WHERE plan_name IS NOT NULL AND source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL",
         "p1_found": f"WITH {_SHOWN} SELECT index_id, row_id FROM shown WHERE ('0x' || left(priority, 13))::BIGINT::HUGEINT * 1000 < permille::HUGEINT * 4503599627370496",
         "p1_frozen_batches": f"WITH {_BATCHES} SELECT index_id, generation, row_id, priority FROM drawn",
         "p1_sample_growth": f"""WITH {_BATCHES},
