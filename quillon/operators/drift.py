@@ -42,8 +42,9 @@ def reservoir(df: DataFrame, key: Column, size: int = SAMPLE, by: list[str] | No
     return smallest_per_group(base, by or [whole], own, most, [own]).drop(whole, own, most)
 
 
-def merge_reservoirs(a: DataFrame, b: DataFrame, key: Column, size: int = SAMPLE) -> DataFrame:
-    return reservoir(a.unionByName(b).distinct(), key, size)
+def merge_reservoirs(a: DataFrame, b: DataFrame, key: Column, size: int = SAMPLE, by: list[str] | None = None) -> DataFrame:
+    """The reservoir of all rows behind two reservoirs."""
+    return reservoir(a.unionByName(b).distinct(), key, size, by)
 
 
 def warning(sample: Column, p95_refined: Column, exceeding: Column, baseline_p95: Column) -> Column:

@@ -7,13 +7,15 @@ import json
 import os
 import platform
 import struct
+import resource
 import subprocess
 import time
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.errors import InvalidOptions
@@ -91,6 +93,44 @@ def measure_latency(index: Index, queries: list[list[float]], k: int = 10, metri
     return {"serial_ms": percentiles(each), "batch_seconds": took, "batch_queries_per_second": throughput(len(queries), took), "rows": len(index)}
 
 
+def measure_callers(index: Index, queries: list[list[float]], callers: tuple[int, ...] = (1, 2, 4, 8), k: int = 10, metric: str = "cosine") -> list[dict]:
+    """Searches of one query each from so many callers at once: how long each takes, and how many are answered a second.
+    The callers share the session, whose scheduler shares out the cores."""
+    out = []
+
+    def ask(v: list[float]) -> float:
+        began = time.perf_counter()
+        index.search(index.spark.createDataFrame([(0, v)], "query_id long, v array<float>"), k, metric=metric).collect()
+        return 1000 * (time.perf_counter() - began)
+
+    for n in callers:
+        began = time.perf_counter()
+        with ThreadPoolExecutor(n) as pool:
+            each = list(pool.map(ask, queries))
+        out.append({"callers": n, "ms": percentiles(each), "queries_per_second": throughput(len(queries), time.perf_counter() - began)})
+    return out
+
+
+def compare_builds(a: Index, b: Index, queries: DataFrame, k: int = 10, metric: str = "cosine", rounds: int = 3) -> dict:
+    """Two builds asked in turn: whether all their hits are the same to the bit, and the median of the paired ratios of
+    their times (of the second to the first)."""
+    ratios, prints = [], []
+    for r in range(rounds):
+        took = {}
+        for name, index in (("a", a), ("b", b)) if r % 2 == 0 else (("b", b), ("a", a)):
+            began = time.perf_counter()
+            prints.append(tuple(distributed_fingerprint(index.search(queries, k, metric=metric)).first()))
+            took[name] = time.perf_counter() - began
+        ratios.append(took["b"] / took["a"])
+    return {"same": len(set(prints)) == 1, "ratio": float(np.median(ratios)), "rounds": rounds}
+
+
+def memory(spark: SparkSession) -> dict[str, int]:
+    """Bytes that this machine's part of the engine holds: the driver's Python at its peak, and the JVM now."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    return {"python_peak": 1024 * resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, "jvm_used": runtime.totalMemory() - runtime.freeMemory(), "jvm_most": runtime.maxMemory()}
+
+
 def build_memory_bound(training_rows: int, dim: int) -> int:
     """Bytes of the training matrix, its rotation and its residuals, all that the driver holds of the data."""
     return 3 * 4 * training_rows * dim + 4 * SEGMENT_ROWS

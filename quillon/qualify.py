@@ -15,9 +15,11 @@ from quillon.common import cut, ensure_checkpoint_dir, read
 from quillon.functions import bounds, codec, vectors
 from quillon.operators import drift, evaluate, exact, search
 from quillon.operators.blocks import bytes_matrix, matrix
+from quillon.operators.select import key_of_hex
 from quillon.plans import measure
 from quillon.plans.index import Index, IndexBuilder
 from quillon.queries import K, SEGMENT, frozen_model
+from quillon.sources import files
 from quillon.sources.generated import splitmix
 from quillon.spec import LEAST_NORM, MAX_NORM, ONE, SPEC_64
 from quillon.streaming.ingest import StreamingTopK
@@ -161,6 +163,23 @@ def streaming_class_topk(spark, d):
     return top.at(2)
 
 
+def stored_lists(spark, d):
+    """Exact lists written, and read again with their checks."""
+    ensure_checkpoint_dir(spark)
+    path, rows = f"{spark.sparkContext.getCheckpointDir()}/lists-{uuid.uuid4().hex}", base._vectors(spark, d)
+    files.write_lists(base.exact_cosine_topk(spark, d), path, rows.count() - 1, K)
+    return files.read_lists(spark, path)[0]
+
+
+def drift_merge(spark, d):
+    """Reservoirs of odd and even generations merged into that of all."""
+    key = key_of_hex(F.sha2(F.concat_ws("|", "row_id", "index_id"), 256))
+    rows = base._drift_rows(spark, d)
+    odd = F.coalesce(F.col("generation") % 2 == 1, F.lit(False))
+    a, b = (drift.reservoir(rows.where(w).select("index_id", "row_id").distinct(), key, 40, ["index_id"]) for w in (odd, ~odd))
+    return drift.merge_reservoirs(a, b, key, 40, ["index_id"])
+
+
 def stable_fingerprint(spark, d):
     """Whether the exact bits of all hits are the same for any partitioning of the rows."""
     _, asked, encoded, model = _pieces(spark, d)
@@ -367,6 +386,8 @@ FROM lists l JOIN cosines c ON c.query_id = l.query_id AND c.row_id = l.row_id L
         "search_given_ranking": f"{_hits_sql('', 'primary_raw::DOUBLE * sqrt(units::DOUBLE)', 'corrected * sqrt(units::DOUBLE)', True)} SELECT query_id, rank, row_id, round(final / {ONE}.0::DOUBLE, 6) AS score FROM hits",
         "stored_search": generation(1, f" AND r.row_id < {half}", half, f"row_id // {SEGMENT}") + " UNION ALL " + generation(2, "", _N, f"CASE WHEN row_id < {half} THEN row_id // {SEGMENT} ELSE ({half} + {SEGMENT - 1}) // {SEGMENT} + (row_id - {half}) // {SEGMENT} END"),
         "streaming_class_topk": base._exact_sql("cosine", K, False, False),
+        "stored_lists": base.oracle_sql()["exact_cosine_topk"],
+        "drift_merge": base.oracle_sql()["drift_reservoir"],
         "stable_fingerprint": f"SELECT (count(*) FILTER (WHERE vec_id % 50 = 0) * {K})::BIGINT AS hits, true AS same FROM embeddings",
         "candidate_scores": f"{_hits_sql(k=10, budget=10)} SELECT h.query_id, h.row_id, list_reduce(list_transform(range(1, 65), lambda c: (q.y[c] * r.p[c])::FLOAT), lambda a, x: (a + x)::FLOAT) AS float_score, refined_raw AS refined_decoded FROM hits h JOIN weighed q ON q.row_id = h.query_id JOIN weighed r ON r.row_id = h.row_id",
         "query_errors": f"{base._codec_sql()}, m AS (SELECT row_id AS query_id, {largest} AS p, {sums} AS r FROM coded CROSS JOIN tables WHERE row_id % 50 = 0) "

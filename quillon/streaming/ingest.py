@@ -10,6 +10,7 @@ from quillon.operators.exact import exact_topk, merge_topk
 from quillon.operators.select import key_of_hash
 from quillon.operators.drift import merge_reservoirs
 from quillon.plans.index import Index, IndexBuilder
+from quillon.plans.store import Files
 
 
 def append_batch(spark: SparkSession, path: str, order: str):
@@ -45,14 +46,24 @@ class StreamingTopK:
     def _state(self, epoch: int) -> str:
         return f"{self.path}/epoch={epoch}"
 
+    def _epochs(self) -> list[int]:
+        """The epochs whose state is whole, from one listing."""
+        files = Files(self.spark, self.path)
+        return sorted(e for n in files.names() if n.startswith("epoch=") and (e := int(n.removeprefix("epoch="))) >= 0 and files.exists(f"{n}/_SUCCESS"))
+
     def at(self, epoch: int) -> DataFrame:
-        for e in range(epoch, -1, -1):
-            try:
-                return self.spark.read.parquet(self._state(e)).select("query_id", "row_id", "score", "rank")
-            except Exception as error:  # no such folder: that epoch was empty
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-        raise NotFound(self.path)
+        """The best so far after an epoch; an epoch that was empty has the state before it."""
+        there = [e for e in self._epochs() if e <= epoch]
+        if not there:
+            raise NotFound(self.path)
+        return self.spark.read.parquet(self._state(there[-1])).select("query_id", "row_id", "score", "rank")
+
+    def forget(self, before: int) -> None:
+        """Remove the states of epochs before the last one that is at most ``before``; a stream replays its last epoch
+        only, so its checkpoint's epoch less one is what to give."""
+        files = Files(self.spark, self.path)
+        for e in [e for e in self._epochs() if e <= before][:-1]:
+            files.remove(f"epoch={e}")
 
     def update(self, batch: DataFrame, epoch: int) -> None:
         new = exact_topk(batch, self.queries, self.k, self.metric, self.dim)

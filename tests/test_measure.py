@@ -46,3 +46,22 @@ def test_small_generators():
     u, v = factors(m, 12, 16)
     assert u.shape == (20, 16) and np.abs(u @ v.T - m).max() < 1e-5
     assert (factors(m, 4, 16)[0] == factors(m, 4, 16)[0]).all()
+
+
+def test_callers_builds_and_memory(spark, tmp_path):
+    from quillon.plans.index import Index, IndexBuilder
+    from quillon.queries import frozen_model
+    from quillon.sources.generated import rows
+
+    x = rows("gaussian", 64, np.arange(60), 1).tolist()
+    frame = spark.createDataFrame(list(enumerate(x)), "row_id long, v array<float>")
+    for name, n in (("a", 1), ("b", 3)):
+        builder = IndexBuilder.create(spark, str(tmp_path / name), None, spec=frozen_model().spec, model=frozen_model())
+        builder.push(frame.repartition(n), "row_id")
+        builder.commit()
+    a, b = (Index.open(spark, str(tmp_path / n)) for n in "ab")
+    said = measure.compare_builds(a, b, frame.limit(5).withColumnRenamed("row_id", "query_id"), rounds=2)
+    assert said["same"] and said["ratio"] > 0
+    callers = measure.measure_callers(a, x[:4], (1, 2))
+    assert [c["callers"] for c in callers] == [1, 2] and all(c["queries_per_second"] > 0 and c["ms"]["p50"] <= c["ms"]["max"] for c in callers)
+    assert all(v > 0 for v in measure.memory(spark).values())
