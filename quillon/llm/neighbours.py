@@ -211,13 +211,15 @@ def _restore(r) -> Model:
 def fit_all(vectors: DataFrame, query_group: int = QUERY_GROUP) -> DataFrame:
     """One row per corpus with indexed vectors. Pilots come from the calibration split, or else from the index."""
     indexed = vectors.where("split_name = 'indexed'")
-    totals = vectors.groupBy("corpus").agg(F.count_if(F.col("split_name") == "indexed").alias("total"), F.count_if(F.col("split_name") == "queries").alias("asked")).where("total > 0")
-    drawn = lambda df, salt, n: smallest_per_group(
-        df.withColumn("key", key_of_hash(F.lit(salt), "vec_id")).withColumn("most", F.lit(n)), ["corpus"], "key", "most", ["vec_id"]
-    ).select("corpus", "vec_id", "embedding")
-    sample = drawn(indexed, "sample", TRAINING_ROWS).withColumn("role", F.lit("index"))
-    pilots = drawn(vectors.where("split_name = 'calibration'"), "pilot", PILOTS).withColumn("role", F.lit("pilot"))
-    return sample.unionByName(pilots).join(totals, "corpus").groupBy("corpus").applyInPandas(_fit_group(query_group), MODEL)
+    totals = cut(vectors.groupBy("corpus").agg(F.count_if(F.col("split_name") == "indexed").alias("total"), F.count_if(F.col("split_name") == "queries").alias("asked")).where("total > 0"))
+    drawn = lambda split, role, n: smallest_per_group(
+        vectors.where(F.col("split_name") == split).select("corpus", "vec_id").withColumn("key", key_of_hash(F.lit(role), "vec_id")).withColumn("most", F.lit(n)), ["corpus"], "key", "most", ["vec_id"]
+    ).select("corpus", "vec_id", F.lit(role).alias("role"))
+    chosen = drawn("indexed", "index", TRAINING_ROWS).unionByName(drawn("calibration", "pilot", PILOTS)).join(totals, "corpus")
+    # ids are drawn without their vectors, and looked up where the vectors lie as long as the ids fit
+    if totals.count() * (TRAINING_ROWS + PILOTS) * 64 <= BROADCAST_LIMIT:
+        chosen = F.broadcast(chosen)
+    return vectors.select("corpus", "vec_id", "embedding").join(chosen, ["corpus", "vec_id"]).groupBy("corpus").applyInPandas(_fit_group(query_group), MODEL)
 
 
 def _place(models):
