@@ -209,17 +209,22 @@ def _restore(r) -> Model:
 
 
 def fit_all(vectors: DataFrame, query_group: int = QUERY_GROUP) -> DataFrame:
-    """One row per corpus with indexed vectors. Pilots come from the calibration split, or else from the index."""
-    indexed = vectors.where("split_name = 'indexed'")
+    """One row per corpus with indexed vectors. Pilots come from the calibration split; without any the walk visits all."""
     totals = cut(vectors.groupBy("corpus").agg(F.count_if(F.col("split_name") == "indexed").alias("total"), F.count_if(F.col("split_name") == "queries").alias("asked")).where("total > 0"))
-    drawn = lambda split, role, n: smallest_per_group(
-        vectors.where(F.col("split_name") == split).select("corpus", "vec_id").withColumn("key", key_of_hash(F.lit(role), "vec_id")).withColumn("most", F.lit(n)), ["corpus"], "key", "most", ["vec_id"]
-    ).select("corpus", "vec_id", F.lit(role).alias("role"))
-    chosen = drawn("indexed", "index", TRAINING_ROWS).unionByName(drawn("calibration", "pilot", PILOTS)).join(totals, "corpus")
-    # ids are drawn without their vectors, and looked up where the vectors lie as long as the ids fit
-    if totals.count() * (TRAINING_ROWS + PILOTS) * 64 <= BROADCAST_LIMIT:
-        chosen = F.broadcast(chosen)
-    return vectors.select("corpus", "vec_id", "embedding").join(chosen, ["corpus", "vec_id"]).groupBy("corpus").applyInPandas(_fit_group(query_group), MODEL)
+    key = lambda salt: key_of_hash(salt, "vec_id")
+
+    def edge(split: str, n: int):
+        """The last key and id of those drawn: one row a corpus stands for all of them."""
+        ids = vectors.where(F.col("split_name") == split).select("corpus", "split_name", "vec_id", key(F.lit(split)).alias("key"), F.lit(n).alias("most"))
+        return smallest_per_group(ids, ["corpus"], "key", "most", ["vec_id"]).groupBy("corpus", "split_name").agg(F.max(F.struct("key", "vec_id")).alias("edge"))
+
+    edges = edge("indexed", TRAINING_ROWS).unionByName(edge("calibration", PILOTS)).join(totals, "corpus")
+    if totals.count() * 256 <= BROADCAST_LIMIT:
+        edges = F.broadcast(edges)
+    role = F.when(F.col("split_name") == "indexed", "index").otherwise("pilot")
+    own = F.struct(key(F.col("split_name")).alias("key"), "vec_id")
+    drawn = vectors.join(edges, ["corpus", "split_name"]).where(own <= F.col("edge")).select("corpus", "vec_id", "embedding", role.alias("role"), "total", "asked")
+    return drawn.groupBy("corpus").applyInPandas(_fit_group(query_group), MODEL)
 
 
 def _place(models):
