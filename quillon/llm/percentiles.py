@@ -100,8 +100,10 @@ def deviations(bound_widths: DataFrame, budget_outcomes: DataFrame, tolerance: f
     key = [*GROUP, "width_kind", "statistic"]
     found = compared.where(F.col("sure")).select(*key)
     open_ = compared.where(F.col("sure").isNull()).select(*key, "published", "percent", "n", "low", "high")
-    long = widths.select(*GROUP, F.explode(F.array(*(F.struct(F.lit(c).alias("width_kind"), F.col(c).alias("width")) for c in KINDS))).alias("s")).select(*GROUP, "s.*").where(F.col("width").isNotNull())
-    near = long.join(open_, [*GROUP, "width_kind"]).where(F.col("width") <= F.col("high"))
+    # one row a group, so that widths meet it once, and only those of open groups are taken apart
+    by_group = open_.groupBy(*GROUP).agg(F.collect_list(F.struct("width_kind", "statistic", "published", "percent", "n", "low", "high")).alias("o"))
+    width = F.when(F.col("width_kind") == KINDS[0], F.col(KINDS[0])).otherwise(F.col(KINDS[1]))
+    near = widths.join(by_group, list(GROUP)).select(*GROUP, *KINDS, F.inline("o")).withColumn("width", width).where(F.col("width") <= F.col("high"))
     values = near.groupBy(*key, "published", "percent", "n", F.greatest("width", "low").alias("at"), (F.col("width") < F.col("low")).alias("under")).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*key).orderBy(F.desc("under"), "at"))
     exact = (
