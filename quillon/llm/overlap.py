@@ -8,6 +8,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,8 +76,11 @@ def slack(words: int) -> int:
     return longest - least(longest)
 
 
+_word_id = lru_cache(1 << 17)(xxhash.xxh3_64_intdigest)
+
+
 def word_ids(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(_word_id, words), np.uint64, len(words))
 
 
 def prefix(ids: np.ndarray, common: np.ndarray) -> list[tuple[int, int]]:
@@ -228,24 +232,43 @@ _SIGNED = [f"s{i}" for i in range(SIGNATURE)]
 
 
 def _fingerprints(commonness):
+    """A row for each word that a text selects in a cell of a band, with its first and last place there; texts of the
+    evaluation side look in the cells and bands beside their own too."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         level = commonness.value
         for docs in batches:
-            out = []
-            for key, n, joined, evaluation, training in zip(docs.key.tolist(), docs.n.tolist(), docs.words.tolist(), docs.evaluation.tolist(), docs.training.tolist()):
+            n, evaluation, training = docs.n.to_numpy(), docs.evaluation.to_numpy(bool), docs.training.to_numpy(bool)
+            chosen, seeds, signed = [], [], []
+            for joined in docs.words.tolist():
                 ids = word_ids(joined.split(" "))
-                chosen = prefix(ids, level[(ids >> np.uint64(64 - COMMON_BITS)).astype(np.int64)])
-                signed, seeds, band = signature(ids), ids.astype(np.int64).tolist(), band_of(n)
-                for asked in (True,) * evaluation + (False,) * training:
-                    cells: dict = {}  # a word repeated in a cell is one row, with its first and last place there
-                    for other in (band - 1, band, band + 1) if asked else (band,):
-                        reach = reach_of(other)
-                        for p, before in chosen:
-                            for c in (p // reach - 1, p // reach, p // reach + 1) if asked else (p // reach,):
-                                low, high, _ = cells.get((seeds[p], other, c), (p, p, 0))
-                                cells[seeds[p], other, c] = min(low, p), max(high, p), before
-                    out.extend((key, n, low, high, before, seed, asked, other, c, *signed) for (seed, other, c), (low, high, before) in cells.items())
-            yield pd.DataFrame(out, columns=["key", "n", "low", "high", "before", "seed", "evaluation", "band", "cell", *_SIGNED])
+                places = np.array(prefix(ids, level[(ids >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]))
+                chosen.append(places)
+                seeds.append(ids[places[:, 0]])
+                signed.append(signature(ids))
+            if not chosen:
+                continue
+            at, seed = np.concatenate(chosen), np.concatenate(seeds).view(np.int64)
+            doc = np.repeat(np.arange(len(docs)), [len(c) for c in chosen])
+            band = np.array([band_of(x) for x in n.tolist()])
+            own = {x: reach_of(x) for x in range(int(band.min()) - 1, int(band.max()) + 2)}
+            parts = []
+            for asked, side_ in ((True, evaluation), (False, training)):
+                of = side_[doc]
+                d, s, p, before = doc[of], seed[of], at[of, 0], at[of, 1]
+                for other in (-1, 0, 1) if asked else (0,):
+                    near = band[d] + other
+                    cell = p // np.array([own[x] for x in range(min(own), max(own) + 1)])[near - min(own)]
+                    for c in (-1, 0, 1) if asked else (0,):
+                        parts.append(np.stack([np.full(len(d), asked, np.int64), d, s, near, cell + c, p, before]))
+            rows = np.concatenate(parts, axis=1)
+            rows = rows[:, np.lexsort(rows[5::-1])]
+            first = np.ones(rows.shape[1], bool)
+            first[1:] = (rows[:5, 1:] != rows[:5, :-1]).any(0)
+            starts = np.flatnonzero(first)
+            asked, d, s, near, cell, low, before = rows[:, starts]
+            frame = {"key": docs.key.to_numpy()[d], "n": n[d], "low": low, "high": rows[5, np.append(starts[1:], rows.shape[1]) - 1], "before": before, "seed": s, "evaluation": asked.astype(bool), "band": near, "cell": cell}
+            yield pd.DataFrame(frame | dict(zip(_SIGNED, np.array(signed, np.int64)[d].T)))
 
     return run
 
