@@ -208,14 +208,22 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    table = np.zeros(1 << COMMON_BITS, np.int32)
+    """Texts that hold a word of each bucket; at most 2^COMMON_BITS rows a task."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge() -> None:
+        buckets, at = np.unique(np.concatenate([b for b, _ in held]), return_inverse=True)
+        held[:] = [(buckets, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64))]
+
     for docs in batches:
-        held = [np.unique(word_ids(joined.split(" "))) for joined in docs.words.tolist()]
-        if held:
-            buckets, n = np.unique((np.concatenate(held) >> np.uint64(64 - COMMON_BITS)).astype(np.int64), return_counts=True)
-            table[buckets] += n.astype(np.int32)
-    at = np.flatnonzero(table)
-    yield pd.DataFrame({"bucket": at, "n": table[at]})
+        words = [np.unique(word_ids(joined.split(" "))) for joined in docs.words.tolist()]
+        if words:
+            held.append(np.unique((np.concatenate(words) >> np.uint64(64 - COMMON_BITS)).astype(np.int64), return_counts=True))
+        if sum(len(b) for b, _ in held[1:]) > 1 << 20:
+            merge()
+    if held:
+        merge()
+        yield pd.DataFrame({"bucket": held[0][0], "n": held[0][1]})
 
 
 def band_of(n: int) -> int:
