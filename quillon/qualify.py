@@ -286,6 +286,38 @@ def splitmix_numbers(spark, d):
     return read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("seed"), F.posexplode(numbers("n_nationkey")).alias("spot", "value"))
 
 
+def trained_quality(spark, d):
+    """A model trained on the table's own rows: queries, whether recall@10 is at least 0.8, intervals violated, and
+    whether every sub-quantiser was moved at least once."""
+    rows, encoded, model = base._trained(spark, d)
+    asked = base._asked(rows)
+    hits = cut(search.search(encoded, asked, model, K, exclude="own"))
+    recall = evaluate.recall(hits, exact.exact_topk(rows, asked, K, exclude="own"), K).agg(F.count("*").alias("queries"), (F.sum("hits") >= 0.8 * F.sum("wanted")).alias("recalled"))
+    bad = evaluate.enclosure(hits, _cosines(hits, rows, asked)).select("violations")
+    return recall.join(bad).withColumn("trained", F.lit(model.baseline["training_iterations"] >= model.spec.subs and model.baseline["training_moves"] > 0))
+
+
+def append_counts(spark, d):
+    """Of both generations of an index trained on its own table: hits, rows scanned, and whether all came from it."""
+    hits = base.append_generations(spark, d)
+    return hits.groupBy("generation").agg(F.count("*").alias("hits"), F.max("rows_scanned").cast("long").alias("scanned"), (F.max("row_id") < F.max("rows_scanned")).alias("within"))
+
+
+def generated_growth(spark, d):
+    """Rows of a generated corpus that a longer one of the same seed repeats to the bit, and of another seed that it does not."""
+    from quillon.sources.generated import generated
+
+    keyed = lambda name, seed: generated(spark, name, seed).select("row_id", F.xxhash64("v").alias("h"))
+    short, long = keyed("generated-correlated-64x300", 3), keyed("generated-correlated-64x900", 3).withColumnRenamed("h", "g")
+    other = keyed("generated-correlated-64x300", 4).withColumnRenamed("h", "o")
+    return short.join(long, "row_id").join(other, "row_id").agg(F.count("*").alias("rows"), F.count_if(F.col("h") == F.col("g")).alias("repeated"), F.count_if(F.col("h") == F.col("o")).alias("of_another_seed"))
+
+
+def soak_totals(spark, d):
+    """Random rows and queries against intervals of their own, in all."""
+    return base.certificate_soak(spark, d, 4000).agg(F.count("*").alias("seeds"), F.sum("trials").alias("trials"), F.sum("violations").alias("violations"))
+
+
 def generated_lengths(spark, d):
     """Whether generated rows have, on average, the length that independent and correlated coordinates have."""
     from quillon.sources.generated import generated
@@ -404,6 +436,10 @@ FROM c JOIN p ON p.index_id = c.index_id JOIN b ON b.index_id = c.index_id""",
         "recall_gate": f"WITH s AS ({base.oracle_sql()['budget_sweep']}) SELECT budget, (SELECT hits FROM s WHERE budget = {max(base.BUDGETS)}) * 100 <= hits * 100 + wanted AS passes FROM s",
         "id_coverage": "WITH a AS (SELECT DISTINCT query_id FROM candidates WHERE query_id IS NOT NULL), b AS (SELECT DISTINCT query_id FROM neighbors WHERE query_id IS NOT NULL) SELECT (SELECT count(*) FROM a ANTI JOIN b USING (query_id)) AS only_candidates, (SELECT count(*) FROM b ANTI JOIN a USING (query_id)) AS only_neighbors, (SELECT count(*) FROM a JOIN b USING (query_id)) AS both",
         "sql_functions": f"WITH {base._rows_sql(False)} SELECT a.row_id AS a, b.row_id AS b, a.n AS length, {base._DOT.format(a='a.v', b='b.v')} AS product, {base._DOT.format(a='a.v', b='b.v')} / (a.n * b.n) AS cosine FROM rows a JOIN rows b ON b.row_id = a.row_id + 1",
+        "trained_quality": "SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS queries, true AS recalled, 0::BIGINT AS violations, true AS trained FROM embeddings",
+        "append_counts": f"WITH c AS (SELECT count(*) FILTER (WHERE vec_id % 50 = 0) * {K} AS hits, count(*) FILTER (WHERE vec_id % 2 = 0) AS even, count(*) AS n FROM embeddings) SELECT 1::INTEGER AS generation, hits, even AS scanned, true AS within FROM c UNION ALL SELECT 2, hits, n, true FROM c",
+        "generated_growth": "SELECT 300::BIGINT AS rows, 300::BIGINT AS repeated, 0::BIGINT AS of_another_seed",
+        "soak_totals": "SELECT 8::BIGINT AS seeds, 4000::BIGINT AS trials, 0::BIGINT AS violations",
         "splitmix_numbers": _splitmix_sql(),
         "generated_lengths": "SELECT unnest(['gaussian', 'correlated']) AS kind, 4000::BIGINT AS rows, true AS as_expected",
         "certificate_soak": "SELECT unnest(range(0, 8))::INTEGER AS seed, 2500::BIGINT AS trials, 0::BIGINT AS violations",
