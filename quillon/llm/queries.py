@@ -227,6 +227,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_recall": f"WITH {once} SELECT corpus, count(*) FILTER (WHERE split = 'queries') AS queries, true AS reached FROM once GROUP BY corpus HAVING queries > 0 AND count(*) FILTER (WHERE split = 'indexed') > 0",
         "p5_enclosure": _P5[: _P5.index("said AS (")].rstrip().rstrip(",").replace("max(w) FILTER (WHERE pos = (p * n + 99) // 100) AS v", "max(n) AS n, count(*) AS c") + " SELECT run_id, candidate_budget, width_kind, statistic, n, true AS inside FROM exact",
+        # the texts keep clear of the border: four bytes a token, give or take a factor of two, tell the same texts
+        "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND strlen(text) > 4 * (SELECT max(capacity_tokens) FROM pack_capacities WHERE container_name = 'trainer')",
+        # the choice of tokenizer does not matter: sizes in bytes give the same sources
+        "p7_found": """WITH held AS (SELECT source, sum(strlen(text)) AS size FROM documents GROUP BY source)
+SELECT DISTINCT plan_name, m.source FROM mix_targets m LEFT JOIN held h ON h.source = m.source WHERE plan_name IS NOT NULL AND m.source IS NOT NULL AND max_repeats * coalesce(size, 0) < target_share * (SELECT sum(size) FROM held)""",
         "p6_placement": "SELECT count(*) AS documents, 0::BIGINT AS lost, 0::BIGINT AS needless_splits, 0::BIGINT AS overfull, 0::BIGINT AS oversized FROM documents WHERE length(text) > 0",
         "p7_limits": "SELECT DISTINCT plan_name, source, true AS within_repeats, true AS as_near_as_can_be FROM mix_targets WHERE plan_name IS NOT NULL AND source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL",
         "p1_found": f"WITH {_SHOWN} SELECT index_id, row_id FROM shown WHERE ('0x' || left(priority, 13))::BIGINT::HUGEINT * 1000 < permille::HUGEINT * 4503599627370496",
